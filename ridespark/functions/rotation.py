@@ -1,38 +1,57 @@
-"""Unit quaternions and 3-vectors as structs ``<w,x,y,z>`` and ``<x,y,z>``."""
+"""Quaternions (w, x, y, z) and 3-vectors as tuples of columns.
+
+Vectors are tuples of plain columns, not structs: Spark inlines a struct into whatever
+reads its fields, so chained rotations of structs grow without bound. Steps that reuse a
+result therefore store it as scalar columns with `keep`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+Vec = tuple[Column, Column, Column]
+Quat = tuple[Column, Column, Column, Column]
+
+
+def named(prefix: str, parts: str = "xyz") -> tuple[Column, ...]:
+    return tuple(F.col(prefix + p) for p in parts)
+
+
+def keep(df: DataFrame, prefix: str, v: tuple[Column, ...], parts: str = "xyz") -> DataFrame:
+    return df.withColumns({prefix + p: c for p, c in zip(parts, v)})
 
 
-def vec(x, y, z) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.struct(lit(x).alias("x"), lit(y).alias("y"), lit(z).alias("z"))
+def fixed(x: float, y: float, z: float) -> Vec:
+    return F.lit(float(x)), F.lit(float(y)), F.lit(float(z))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+def dot(a: Vec, b: Vec) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def cross(a: Column, b: Column) -> Column:
-    return vec(
-        a["y"] * b["z"] - a["z"] * b["y"],
-        a["z"] * b["x"] - a["x"] * b["z"],
-        a["x"] * b["y"] - a["y"] * b["x"],
+def cross(a: Vec, b: Vec) -> Vec:
+    return (
+        a[1] * b[2] - a[2] * b[1],
+        a[2] * b[0] - a[0] * b[2],
+        a[0] * b[1] - a[1] * b[0],
     )
 
 
-def scaled(a: Column, k: Column) -> Column:
-    return vec(a["x"] * k, a["y"] * k, a["z"] * k)
+def minus(a: Vec, b: Vec) -> Vec:
+    return tuple(p - q for p, q in zip(a, b))
 
 
-def unit(a: Column, floor: float = 1e-9) -> Column:
-    n = F.sqrt(dot(a, a))
-    return F.when(n > floor, scaled(a, 1 / n))
+def length(a: Vec) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def unit(a: Vec, n: Column, floor: float = 1e-9) -> Vec:
+    """`a` divided by its length `n`; null when that is not above `floor`."""
+    return tuple(F.when(n > floor, p / n) for p in a)
 
 
 def unit_quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
-    """Normalized quaternion; null when its norm is below 1e-6 or not finite."""
+    """Normalized quaternion as a struct; null when its norm is below 1e-6 or not finite."""
     n = F.sqrt(w * w + x * x + y * y + z * z)
     return F.when(
         (n >= 1e-6) & (n < F.lit(float("inf"))),
@@ -41,7 +60,7 @@ def unit_quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
 
 
 def euler_degrees(q: Column) -> Column:
-    """Roll, pitch and yaw of a unit quaternion."""
+    """Roll, pitch and yaw of a unit quaternion struct."""
     w, x, y, z = (q[c] for c in "wxyz")
     roll = F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))
     pitch = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (w * y - z * x))))
@@ -54,29 +73,36 @@ def euler_degrees(q: Column) -> Column:
     )
 
 
-def rotate(q: Column, v: Column, *, inverse: bool = False) -> Column:
-    """v + 2w(q x v) + 2 q x (q x v); the inverse turns the other way."""
-    sign = -1.0 if inverse else 1.0
-    axis = vec(q["x"] * sign, q["y"] * sign, q["z"] * sign)
-    once = scaled(cross(axis, v), F.lit(2.0))
+def rotate(q: Quat, v: Vec, *, inverse: bool = False) -> Vec:
+    """v + 2w(q x v) + 2 q x (q x v); the inverse turns the other way. `q` and `v` are stored columns."""
+    axis = tuple(-c if inverse else c for c in q[1:])
+    once = tuple(2 * c for c in cross(axis, v))
     twice = cross(axis, once)
-    return F.when(
-        q.isNotNull() & v.isNotNull(),
-        vec(*[v[c] + q["w"] * once[c] + twice[c] for c in "xyz"]),
-    )
+    return tuple(p + q[0] * a + b for p, a, b in zip(v, once, twice))
 
 
-def rotate_onto(source: Column, target: Column, v: Column) -> Column:
-    """Turn `v` by the shortest rotation that takes unit vector `source` to `target`."""
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(source, target)))
-    axis = cross(source, target)
-    s = F.sqrt(dot(axis, axis))
+def rotate_onto(df: DataFrame, source: Vec, target: Vec, v: Vec, out: str) -> DataFrame:
+    """Add `v` turned by the shortest rotation that takes unit vector `source` to `target`, as `out`x, y, z."""
+    df = keep(df, "_k", cross(source, target))
+    k = named("_k")
+    df = df.withColumns(
+        {"_c": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(source, target))), "_s": length(k)}
+    )
+    c, s = F.col("_c"), F.col("_s")
     # opposite directions: half a turn about any axis at right angles to the source
-    helper = F.when(F.abs(source["x"]) < 0.9, vec(1, 0, 0)).otherwise(vec(0, 1, 0))
-    half = F.coalesce(unit(cross(source, helper)), vec(0, 0, 1))
-    turned_half = vec(*[2 * half[k] * dot(half, v) - v[k] for k in "xyz"])
-    k = scaled(axis, 1 / s)
+    flat = F.abs(source[0]) < 0.9
+    helper = (F.when(flat, 1.0).otherwise(0.0), F.when(flat, 0.0).otherwise(1.0), F.lit(0.0))
+    df = keep(df, "_h", cross(source, helper))
+    h = named("_h")
+    df = df.withColumn("_hn", length(h))
+    df = keep(df, "_h", tuple(F.coalesce(x, y) for x, y in zip(unit(h, F.col("_hn")), fixed(0, 0, 1))))
+    df = keep(df, "_k", tuple(p / s for p in k))
+    df = df.withColumns({"_hv": dot(h, v), "_kv": dot(k, v) * (1 - c)})
     kxv = cross(k, v)
-    along = dot(k, v) * (1 - c)
-    turned = vec(*[v[i] * c + kxv[i] * s + k[i] * along for i in "xyz"])
-    return F.when((s < 1e-9) & (c > 0), v).when(s < 1e-9, turned_half).otherwise(turned)
+    turned = tuple(
+        F.when((s < 1e-9) & (c > 0), v[i])
+        .when(s < 1e-9, 2 * h[i] * F.col("_hv") - v[i])
+        .otherwise(v[i] * c + kxv[i] * s + k[i] * F.col("_kv"))
+        for i in range(3)
+    )
+    return keep(df, out, turned).drop(*[f"_{n}{p}" for n in "kh" for p in "xyz"], "_c", "_s", "_hn", "_hv", "_kv")

@@ -39,12 +39,11 @@ def _neighbours(left, right, keys, left_t, right_t, width) -> DataFrame:
         edges.select(
             *keys,
             CHUNK,
-            F.explode(
-                F.array(
-                    F.last("last", ignorenulls=True).over(forth), F.last("first", ignorenulls=True).over(back)
-                )
-            ).alias("_right"),
+            F.array(
+                F.last("last", ignorenulls=True).over(forth), F.last("first", ignorenulls=True).over(back)
+            ).alias("_rights"),
         )
+        .select(*keys, CHUNK, F.explode("_rights").alias("_right"))
         .where(F.col("_right").isNotNull())
         .withColumns({"_t": F.col("_right._rt"), "_side": F.lit(0)})
     )

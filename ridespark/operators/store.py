@@ -126,21 +126,20 @@ def find_covering(
 def compatibility(
     requests: DataFrame, entries: DataFrame, fields: Sequence[str], *, rate_field: str | None = "rate"
 ) -> DataFrame:
-    """Why an entry of the same source cannot serve a request; an empty list means it can.
+    """Why a request's proposed entry (`entry_id`) cannot serve it; an empty list means it can.
 
     `fields` are compared one by one (rates within 1e-6). Digest mode "sha256" needs the
     request to carry the same source digest.
     """
-    e = entries.select("source", *[F.col(c).alias(f"_e_{c}") for c in entries.columns if c != "source"])
-    both = requests.join(e, "source")
-    has = lambda c: c in requests.columns and c in entries.columns
+    e = entries.select("entry_id", *[F.col(c).alias(f"_e_{c}") for c in entries.columns if c != "entry_id"])
+    both = requests.join(e, "entry_id")
     same = lambda f: (
         F.coalesce(F.abs(F.col(f) - F.col(f"_e_{f}")) <= COVER, F.lit(False))
         if f == rate_field
         else F.col(f).eqNullSafe(F.col(f"_e_{f}"))
     )
     reasons = [F.when(~same(f), f"{f}_mismatch") for f in fields]
-    if has("source_sha256") and "fingerprint_mode" in entries.columns:
+    if "fingerprint_mode" in entries.columns:
         mode = F.coalesce(F.col("_e_fingerprint_mode"), F.lit("metadata"))
         reasons.append(
             F.when((mode == "sha256") & F.col("source_sha256").isNull(), "source_sha256_not_verified")
@@ -150,9 +149,9 @@ def compatibility(
     bounds = F.col("_e_start_s").isNull() | F.col("_e_end_s").isNull()
     outside = (F.col("_e_start_s") > F.col("start_s") + COVER) | (F.col("_e_end_s") < F.col("end_s") - COVER)
     reasons.append(F.when(bounds, "interval_missing").when(outside, "requested_interval_not_covered"))
-    return both.select(
-        "request_id", F.col("_e_entry_id").alias("entry_id"), F.array_compact(F.array(*reasons)).alias("reasons")
-    ).withColumn("compatible", F.size("reasons") == 0)
+    return both.select("request_id", "entry_id", F.array_compact(F.array(*reasons)).alias("reasons")).withColumn(
+        "compatible", F.size("reasons") == 0
+    )
 
 
 MUSIC_MATCH = ("cache_version", "source_path", "source_hash", "bass_sensitivity", "bass_min_gap_s")

@@ -28,11 +28,6 @@ def quaternion() -> Column:
     return R.unit_quaternion(*[F.col(f"q{c}").cast("double") for c in "wxyz"])
 
 
-def acceleration() -> Column:
-    a = [F.col(f"a{c}").cast("double") for c in "xyz"]
-    return F.when(a[0].isNotNull() & a[1].isNotNull() & a[2].isNotNull(), R.vec(*a))
-
-
 # -- pitch ------------------------------------------------------------------
 
 
@@ -103,11 +98,10 @@ def _upper_medians(df: DataFrame, columns: dict[str, Column], keys: Sequence[str
 
 def acceleration_units(telemetry: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per video: unit of the accelerometer guessed from its median length, factor to g, axis medians in g."""
-    rows = telemetry.withColumn("_a", acceleration()).where(F.col("_a").isNotNull())
+    a = tuple(F.col(f"a{c}").cast("double") for c in "xyz")
+    rows = telemetry.where(a[0].isNotNull() & a[1].isNotNull() & a[2].isNotNull())
     med = _upper_medians(
-        rows,
-        {"unit_median": F.sqrt(R.dot(F.col("_a"), F.col("_a")))} | {f"med_{c}": F.col("_a")[c] for c in "xyz"},
-        keys,
+        rows, {"unit_median": R.length(a)} | {f"med_{n}": c for n, c in zip("xyz", a)}, keys
     )
     m = F.col("unit_median")
     # fixed values: typical range of a resting sensor in g, m/s2 and mg
@@ -155,8 +149,8 @@ def axis_mapping(units: DataFrame, *, axes: str = "auto", invert: Sequence[str]
     return out.withColumns({f"invert_{n}": ~f if n in invert else f for n, f in flips.items()})
 
 
-def _along(v: Column, axis: Column) -> Column:
-    return F.when(axis == "X", v["x"]).when(axis == "Y", v["y"]).otherwise(v["z"])
+def _along(v: tuple[Column, ...], axis: Column) -> Column:
+    return F.when(axis == "X", v[0]).when(axis == "Y", v[1]).otherwise(v[2])
 
 
 def vehicle_motion(
@@ -180,72 +174,64 @@ def vehicle_motion(
         raise ValueError("gravity is quat, highpass or none")
     keys = list(keys)
     frame = axis_mapping(acceleration_units(telemetry, keys=keys), axes=axes, invert=invert)
-    base = telemetry.withColumns({"_q": quaternion(), "_raw": acceleration()}).join(frame, keys, "left")
-    base = base.withColumn("acc", F.when(F.col("_raw").isNotNull(), R.scaled(F.col("_raw"), F.col("unit_scale"))))
-    world = base.select(*keys, R.rotate(F.col("_q"), F.col("acc")).alias("_w")).where(F.col("_w").isNotNull())
-    pull = _upper_medians(world, {f"g{c}": F.col("_w")[c] for c in "xyz"}, keys)
-    enough = world.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nw")).where(F.col("_nw") >= 10)
-    rows = base.join(pull.join(enough, keys).drop("_nw"), keys, "left").withColumn(
-        "gravity_world", F.when(F.col("gx").isNotNull(), R.vec(F.col("gx"), F.col("gy"), F.col("gz")))
+    rows = telemetry.withColumn("_q", quaternion()).join(frame, keys, "left")
+    rows = R.keep(rows, "_q", tuple(F.col("_q")[c] for c in "wxyz"), "wxyz")
+    complete = F.col("ax").isNotNull() & F.col("ay").isNotNull() & F.col("az").isNotNull()
+    rows = R.keep(
+        rows, "_a", tuple(F.when(complete, F.col(f"a{c}").cast("double") * F.col("unit_scale")) for c in "xyz")
     )
+    q, acc = R.named("_q", "wxyz"), R.named("_a")
+    rows = R.keep(rows, "_w", R.rotate(q, acc))
+    pull = _upper_medians(rows, {f"_g{c}": F.col(f"_w{c}") for c in "xyz"}, keys)
+    enough = rows.groupBy(*keys).agg(F.count("_wx").alias("_nw")).where(F.col("_nw") >= 10)
+    rows = rows.join(pull.join(enough, keys).drop("_nw"), keys, "left")
+    pulled = F.col("_gx").isNotNull()
 
     if gravity == "none":
-        rows = rows.withColumns({"_d": F.col("acc"), "gravity_used": F.lit("none")})
+        rows = R.keep(rows, "_d", acc).withColumn("gravity_used", F.lit("none"))
     else:
-        by_attitude = F.col("gravity_world").isNotNull() if gravity == "quat" else F.lit(False)
+        by_attitude = pulled if gravity == "quat" else F.lit(False)
         used = "highpass (fallback)" if gravity == "quat" else "highpass"
-        turned = rows.where(by_attitude)
-        rest = vec_diff(R.rotate(F.col("_q"), F.col("acc")), F.col("gravity_world"))
-        turned = turned.withColumns(
-            {"_d": R.rotate(F.col("_q"), rest, inverse=True), "gravity_used": F.lit("quat")}
+        turned = R.keep(rows.where(by_attitude), "_r", R.minus(R.named("_w"), R.named("_g")))
+        turned = R.keep(turned, "_d", R.rotate(q, R.named("_r"), inverse=True)).drop("_rx", "_ry", "_rz")
+        slow = R.keep(rows.where(~by_attitude), "_d", acc)
+        slow = high_pass(slow, ["_dx", "_dy", "_dz"], seconds=highpass_seconds, keys=keys)
+        rows = turned.withColumn("gravity_used", F.lit("quat")).unionByName(
+            slow.withColumn("gravity_used", F.lit(used))
         )
-        slow = rows.where(~by_attitude).withColumns({f"_h{c}": F.col("acc")[c] for c in "xyz"})
-        slow = high_pass(slow, [f"_h{c}" for c in "xyz"], seconds=highpass_seconds, keys=keys)
-        slow = slow.withColumns(
-            {
-                "_d": F.when(F.col("acc").isNotNull(), R.vec(*[F.col(f"_h{c}") for c in "xyz"])),
-                "gravity_used": F.lit(used),
-            }
-        ).drop("_hx", "_hy", "_hz")
-        rows = turned.unionByName(slow)
 
-    med = R.vec(*[F.col(f"med_{c}") for c in "xyz"])
-    static_up = F.when(F.sqrt(R.dot(med, med)) > 0.5, R.unit(med))
+    rows = rows.withColumns({"_gn": R.length(R.named("_g")), "_mn": R.length(R.named("med_"))})
+    rows = R.keep(rows, "_u", R.unit(R.named("_g"), F.col("_gn")))
+    rows = R.keep(rows, "_v", R.rotate(q, R.named("_u"), inverse=True))
+    rows = rows.withColumn("_vn", R.length(R.named("_v")))
+    sees = F.col("_ux").isNotNull() & F.col("_qw").isNotNull()
+    static = R.unit(R.named("med_"), F.col("_mn"), 0.5)
+    down = tuple(F.when(sees, m).otherwise(s) for m, s in zip(R.unit(R.named("_v"), F.col("_vn")), static))
     sign = F.when(F.col("invert_vertical"), -1.0).otherwise(1.0)
-    up = R.vec(*[F.when(F.col("vertical_axis") == a, sign).otherwise(0.0) for a in AXES])
-    measured = F.when(
-        F.col("gravity_world").isNotNull() & F.col("_q").isNotNull(),
-        R.unit(R.rotate(F.col("_q"), R.unit(F.col("gravity_world")), inverse=True)),
-    ).otherwise(static_up)
-    rows = rows.withColumns({"_down": measured, "_up": up})
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), R.dot(F.col("_down"), F.col("_up"))))
-    rows = rows.withColumn("tilt", F.when(F.col("_d").isNotNull() & F.col("_down").isNotNull(), F.degrees(F.acos(cosine))))
+    up = tuple(F.when(F.col("vertical_axis") == a, sign).otherwise(0.0) for a in AXES)
+    rows = R.keep(R.keep(rows, "_n", down), "_t", up)
+    known = F.col("_nx").isNotNull()
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), R.dot(R.named("_n"), R.named("_t"))))
+    rows = rows.withColumn("tilt", F.when(F.col("_dx").isNotNull() & known, F.degrees(F.acos(cosine))))
     if level:
-        rows = rows.withColumn(
-            "_d",
-            F.when(F.col("_down").isNull(), F.col("_d")).otherwise(
-                F.when(F.col("_d").isNotNull(), R.rotate_onto(F.col("_down"), F.col("_up"), F.col("_d")))
-            ),
-        )
-    flip = lambda n: F.when(F.col(f"invert_{n}"), -1.0).otherwise(1.0)
-    along = lambda n: _along(F.col("_d"), F.col(f"{n}_axis")) * flip(n)
+        rows = R.rotate_onto(rows, R.named("_n"), R.named("_t"), R.named("_d"), "_l")
+        rows = R.keep(rows, "_d", tuple(F.when(known, l).otherwise(d) for l, d in zip(R.named("_l"), R.named("_d"))))
+    along = {
+        n: _along(R.named("_d"), F.col(f"{n}_axis")) * F.when(F.col(f"invert_{n}"), -1.0).otherwise(1.0)
+        for n in ("lateral", "longitudinal", "vertical")
+    }
     angle = R.euler_degrees(F.col("_q"))
     return (
-        rows.withColumns({n: along(n) for n in ("lateral", "longitudinal", "vertical")})
-        .withColumns(
-            {"combined": F.hypot("lateral", "longitudinal")}
-            | {n: angle[n] for n in ("roll", "pitch", "yaw")}
-        )
+        rows.withColumns(along)
+        .withColumn("combined", F.hypot("lateral", "longitudinal"))
         .select(
             *telemetry.columns,
-            *[F.col("acc")[c].alias(f"acc_{c}_g") for c in "xyz"],
+            *[F.col(f"_a{c}").alias(f"acc_{c}_g") for c in "xyz"],
             "lateral",
             "longitudinal",
             "vertical",
             "combined",
-            "roll",
-            "pitch",
-            "yaw",
+            *[angle[n].alias(n) for n in ("roll", "pitch", "yaw")],
             "tilt",
             "unit",
             "gravity_used",
@@ -253,13 +239,9 @@ def vehicle_motion(
     )
 
 
-def vec_diff(a: Column, b: Column) -> Column:
-    return R.vec(*[a[c] - b[c] for c in "xyz"])
-
-
 def camera_tilt(motion: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Upper median of the tilt between measured gravity and the vertical axis."""
-    return _upper_medians(motion.where(F.col("tilt").isNotNull()), {"tilt_deg": F.col("tilt")}, keys)
+    """Upper median of the tilt between measured gravity and the vertical axis; null without any."""
+    return _upper_medians(motion, {"tilt_deg": F.col("tilt")}, keys)
 
 
 # -- clocks -----------------------------------------------------------------

@@ -55,11 +55,8 @@ def halo_one_row(df: DataFrame, keys: Sequence[str], by: str, width: float) -> D
     )
     w = W.partitionBy(*keys).orderBy(CHUNK)
     carried = (
-        edges.select(
-            *keys,
-            CHUNK,
-            F.explode(F.array(F.lag("last").over(w), F.lead("first").over(w))).alias("row"),
-        )
+        edges.select(*keys, CHUNK, F.array(F.lag("last").over(w), F.lead("first").over(w)).alias("rows"))
+        .select(*keys, CHUNK, F.explode("rows").alias("row"))
         .where(F.col("row").isNotNull())
         .select(*keys, *[F.col("row")[c].alias(c) for c in payload], CHUNK, F.lit(True).alias(HALO))
     )

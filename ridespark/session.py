@@ -21,20 +21,29 @@ def get_session(app: str = "ridespark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write `df` once to the cluster's checkpoint folder and read it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from the session (`spark.checkpoint.dir`).
 
-    Used where a later step depends on how rows were laid out, and where a loop
-    would otherwise grow its lineage. The folder comes from the session
-    (`spark.checkpoint.dir`); a temporary one is made for local masters only.
+    A temporary one is made for local masters only.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Write `df` once to the checkpoint folder and read it from there.
+
+    Used where a later step depends on how rows were laid out, and where a loop would
+    otherwise grow its lineage.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

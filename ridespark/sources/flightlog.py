@@ -82,7 +82,7 @@ def order_findings(log: DataFrame) -> DataFrame:
     )
 
 
-def block_text(rows: DataFrame) -> Column:
+def block_text() -> Column:
     """A log block from columns frame, t, end_s, iso, lat, lon; for writing logs of this form."""
     clock = lambda s: F.format_string(
         "%02d:%02d:%02d,%03d",
