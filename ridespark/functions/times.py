@@ -20,14 +20,13 @@ def seconds_of(text: Column) -> Column:
     Fractions are allowed in every field. Fields below the first must be under 60;
     in ``MM:SS`` the minutes are the first field and are free.
     """
-    parts = F.split(F.trim(text), ":")
-    n = F.size(parts)
-    a, b, c = (_number(F.get(parts, F.lit(i))) for i in range(3))
-    return (
-        F.when(n == 1, a)
-        .when((n == 2) & (b < 60), a * 60 + b)
-        .when((n == 3) & (b < 60) & (c < 60), a * 3600 + b * 60 + c)
+    parts = F.transform(F.split(F.trim(text), ":"), _number)
+    fine = (
+        (F.size(parts) <= 3)
+        & F.forall(parts, lambda x: x.isNotNull())
+        & F.forall(F.slice(parts, 2, 2), lambda x: x < 60)
     )
+    return F.when(fine, F.aggregate(parts, F.lit(0.0), lambda total, x: total * 60 + x))
 
 
 def clock_of(seconds: Column) -> Column:

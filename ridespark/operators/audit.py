@@ -236,7 +236,7 @@ def audit_requests(clips: DataFrame, videos: DataFrame) -> tuple[DataFrame, Data
         F.count(F.lit(1)).alias("clips"),
         F.count_distinct("video_id").alias("videos"),
         F.count(F.when(F.col("mandatory"), 1)).alias("mandatory_clips"),
-        F.round(F.sum(F.col("end_s") - F.col("start_s")), 3).alias("requested_s"),
+        F.sum(F.col("end_s") - F.col("start_s")).alias("requested_s"),
     )
     return issues, summary
 
@@ -332,7 +332,7 @@ def audit_windows(
         {
             "_lo": F.min("sample_idx"),
             "_hi": F.max("sample_idx"),
-            "_rows": F.count("sample_idx"),
+            "_held": F.count("sample_idx"),
         },
         window=window,
         stride=stride,
@@ -343,7 +343,7 @@ def audit_windows(
     first = samples.groupBy(*keys).agg(F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_n"))
     want_start = F.col("_t0") - dt + k * n_s * dt
     off = (F.abs(F.col("start_s") - want_start) > BOUND) | (F.abs(F.col("end_s") - want_start - window) > BOUND)
-    wrong = (F.col("_lo") != k * n_s) | (F.col("_hi") != k * n_s + n_w - 1) | (F.col("_rows") != n_w)
+    wrong = (F.col("_lo") != k * n_s) | (F.col("_hi") != k * n_s + n_w - 1) | (F.col("_held") != n_w)
     best = annotations.where(F.col("score") == max(GRADES)).select(
         *keys, F.col("start_s").alias("_as"), F.col("end_s").alias("_ae")
     )

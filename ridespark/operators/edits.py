@@ -155,7 +155,7 @@ def plan_edits(
 
 def processing_ranges(clips: DataFrame) -> DataFrame:
     """Merged requested ranges per edit and video."""
-    return merge_ranges(clips, keys=(EDIT, "video_id"))
+    return merge_ranges(clips, keys=(EDIT, "video_id")).drop("members")
 
 
 def ranked_candidates(candidates: DataFrame) -> DataFrame:

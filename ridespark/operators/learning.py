@@ -68,7 +68,7 @@ def training_table(
     Windows without telemetry are left out before normalizing.
     """
     rows = feature_windows(samples, pitch, window=window, stride=stride, dt=dt, offset=offset)
-    rows = rows.where(F.col("pitch_rate_rms").isNotNull())
+    rows = freeze(rows.where(F.col("pitch_rate_rms").isNotNull()))  # read for the statistics, the scaling and the labels
     scaled = zscore(rows, list(names))
     labelled = label_windows(scaled, annotations)
     return freeze(labelled.join(manifest.select("video_id", "group_id"), "video_id"))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..plans.intervals import overlap_pairs
 from ..schemas import GAINS
-from .segments import mark_islands
+from .segments import merge_ranges
 
 KEYS = ("video_id",)
 TOUCH = 1e-9
@@ -21,11 +22,10 @@ def gain(label: Column) -> Column:
     return out
 
 
-def top_k_flags(scored: DataFrame, k: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Keys and index of the k best windows; equal scores in window order."""
+def top_k(scored: DataFrame, k: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The k best windows; equal scores in window order."""
     w = W.partitionBy(*keys).orderBy(F.desc("score"), "window_index")
-    ranked = scored.select(*keys, "window_index", "score", F.row_number().over(w).alias("position"))
-    return ranked.where(F.col("position") <= k)
+    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
 def segment_recall_by_video(
@@ -37,19 +37,16 @@ def segment_recall_by_video(
     """
     if k < 1:
         raise ValueError("k must be positive")
-    marked = mark_islands(
-        scored.where(F.col("label") == EVENT_GRADE).select(*keys, "window_index", "start_s", "end_s"),
-        gap=TOUCH,
-        keys=keys,
-        tie=["window_index"],
-        width=width,
-    )
-    top = top_k_flags(scored, k, keys=keys).select(*keys, "window_index", F.lit(True).alias("in_top"))
-    events = (
-        marked.join(top, [*keys, "window_index"], "left")
-        .groupBy(*keys, "island")
-        .agg(F.max(F.coalesce("in_top", F.lit(False)).cast("int")).alias("hit"))
+    best = scored.where(F.col("label") == EVENT_GRADE)
+    events = merge_ranges(best, gap=TOUCH, keys=keys, width=width)
+    # a window of this grade lies in exactly one event, so overlap is membership
+    top = top_k(scored, k, keys=keys).where(F.col("label") == EVENT_GRADE)
+    found = overlap_pairs(
+        events, top.select(*keys, F.col("start_s").alias("_s"), F.col("end_s").alias("_e")), keys,
+        ("start_s", "end_s"), ("_s", "_e"), width=width,
     )
+    hit = found.select(*keys, "start_s").distinct().withColumn("hit", F.lit(1))
+    events = events.join(hit, [*keys, "start_s"], "left").na.fill({"hit": 0})
     return events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
         F.sum("hit").cast("long").alias("hits"),

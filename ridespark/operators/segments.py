@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.ordered import running
+from ..plans.ordered import CHUNK, chunk_of, running
+from ..session import freeze
 
 KEYS = ("video_id",)
 
@@ -24,44 +25,39 @@ def top_windows(
     return scores.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def _islands(opened: DataFrame, starts: Column, keys, order, width, name) -> DataFrame:
-    """Number islands per key, given the rows that open one."""
-    flag = starts.cast("long")
-    out = running(opened, keys, F.col("start_s"), width, order, {"_before": ("sum", flag)})
-    return out.withColumn(name, (F.col("_before") + flag).cast("long")).drop("_before")
-
-
-def mark_islands(
-    intervals: DataFrame,
-    *,
-    gap: float = 0.0,
-    keys: Sequence[str] = KEYS,
-    tie: Sequence[str] = (),
-    width: float = 600.0,
-    name: str = "island",
+def merge_ranges(
+    intervals: DataFrame, *, gap: float = 0.0, keys: Sequence[str] = KEYS, width: float = 600.0
 ) -> DataFrame:
-    """Number, per key, the groups of intervals that touch, overlap or lie within `gap`.
+    """The union of intervals per key, with how many went into each piece (`members`).
 
-    An interval opens an island when it starts more than `gap` after the latest end so
-    far. `tie` makes the order (start, end, tie) total. Both scans are carried over
-    chunks of `width` seconds, so a long key is shared by many tasks.
+    Intervals that touch, overlap or lie within `gap` of the latest end so far become one.
+    First every chunk of `width` seconds merges its own intervals, which is where almost
+    all of them go; what is left is merged across chunks with running values carried from
+    chunk to chunk. No key is ever in one task as a whole.
     """
-    order = [F.col("start_s"), F.col("end_s"), *[F.col(c) for c in tie]]
-    seen = running(intervals, keys, F.col("start_s"), width, order, {"_reach": ("max", F.col("end_s"))})
-    opens = F.col("_reach").isNull() | (F.col("start_s") - F.col("_reach") > gap)
-    return _islands(seen.withColumn("_opens", opens), F.col("_opens"), keys, order, width, name).drop(
-        "_reach", "_opens"
+    keys = list(keys)
+    cut = intervals.select(*keys, "start_s", "end_s").withColumn(CHUNK, chunk_of(F.col("start_s"), width))
+    w = W.partitionBy(*keys, CHUNK).orderBy("start_s", "end_s").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys, CHUNK).orderBy("start_s", "end_s").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max("end_s").over(w)
+    opens = (reach.isNull() | (F.col("start_s") - reach > gap)).cast("long")
+    local = (
+        cut.withColumn("_opens", opens)
+        .withColumn("_piece", F.sum("_opens").over(upto))
+        .groupBy(*keys, CHUNK, "_piece")
+        .agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("members"))
+        .drop(CHUNK, "_piece")
     )
-
-
-def merge_ranges(intervals: DataFrame, *, gap: float = 0.0, keys: Sequence[str] = KEYS, width: float = 600.0) -> DataFrame:
-    """The union of intervals per key; touching ones become one."""
-    spans = intervals.select(*keys, "start_s", "end_s").distinct()
+    local = freeze(local)  # the pieces are read once per running value
+    order = [F.col("start_s"), F.col("end_s")]
+    seen = running(local, keys, F.col("start_s"), width, order, {"_reach": ("max", F.col("end_s"))})
+    flag = (F.col("_reach").isNull() | (F.col("start_s") - F.col("_reach") > gap)).cast("long")
+    flagged = seen.withColumn("_opens", flag)
+    numbered = running(flagged, keys, F.col("start_s"), width, order, {"_before": ("sum", F.col("_opens"))})
     return (
-        mark_islands(spans, gap=gap, keys=keys, width=width)
-        .groupBy(*keys, "island")
-        .agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
-        .drop("island")
+        numbered.groupBy(*keys, (F.col("_before") + F.col("_opens")).alias("_piece"))
+        .agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("members").alias("members"))
+        .drop("_piece")
     )
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.ordered import CHUNK, HALO, halo_by_distance, halo_one_row, running
+from ..session import freeze
 
 
 def rolling_median(
@@ -147,6 +148,7 @@ def high_pass(
         {"_lo": F.greatest(F.lit(0), F.col("_pos") - F.col("_half")),
          "_hi": F.least(F.col("_n"), F.col("_pos") + F.col("_half") + 1)}
     )
+    scan = freeze(scan)  # read three times below
     # running sum before row p, for p = 0..n: the last one is the sum up to the end
     upto = scan.select(*keys, (F.col("_pos") + 1).alias("_p"), *[(F.col(f"_sum_{c}") + filled[c]).alias(f"_upto_{c}") for c in names])
     low = upto.select(*keys, F.col("_p").alias("_lo"), *[F.col(f"_upto_{c}").alias(f"_low_{c}") for c in names])

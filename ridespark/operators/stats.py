@@ -17,15 +17,14 @@ MOSTLY_ZERO = 0.95
 
 def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]], keys, value: str) -> DataFrame:
     """One row per key and pair: correlation over rows where both sides are finite, and their number."""
+    sides = {str(c): c for pair in pairs.values() for c in pair}
+    short = {text: f"_v{i}" for i, text in enumerate(sides)}
+    df = df.select(*keys, *[F.when(is_finite(c), c).alias(short[t]) for t, c in sides.items()])
     aggs = []
     for i, (x, y) in enumerate(pairs.values()):
-        both = is_finite(x) & is_finite(y)
-        a, b = F.when(both, x), F.when(both, y)
-        aggs += [
-            F.corr(a, b).alias(f"r{i}"),
-            F.count(a).alias(f"n{i}"),
-            F.least(F.stddev_pop(a), F.stddev_pop(b)).alias(f"s{i}"),
-        ]
+        a, b = short[str(x)], short[str(y)]
+        both = F.col(a) + F.col(b)  # null when either is
+        aggs += [F.corr(a, b).alias(f"r{i}"), F.count(both).alias(f"n{i}")]
     wide = df.groupBy(*keys).agg(*aggs)
     rows = F.explode(
         F.array(
@@ -33,7 +32,7 @@ def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]
                 F.struct(
                     F.lit(a).alias("signal_a"),
                     F.lit(b).alias("signal_b"),
-                    F.when((F.col(f"n{i}") >= 3) & (F.col(f"s{i}") > 0), F.col(f"r{i}")).alias(value),
+                    F.when((F.col(f"n{i}") >= 3) & ~F.isnan(f"r{i}"), F.col(f"r{i}")).alias(value),
                     F.col(f"n{i}").alias("n"),
                 )
                 for i, (a, b) in enumerate(pairs)

@@ -36,10 +36,10 @@ def pitch_series(telemetry: DataFrame, *, keys: Sequence[str] = KEYS, width: flo
 
     Videos with fewer than three such samples give no rows.
     """
-    pitch = (
-        telemetry.select(*keys, "t", R.euler_degrees(quaternion())["pitch"].alias("pitch"))
-        .where(is_finite(F.col("pitch")) & is_finite(F.col("t")))
-    )
+    # The filter looks at the inputs: one on the angle would be pushed down as its whole formula.
+    n = F.sqrt(sum((F.col(f"q{c}").cast("double") * F.col(f"q{c}") for c in "wxyz"), F.lit(0.0)))
+    seen = telemetry.where((n >= 1e-6) & (n < F.lit(float("inf"))) & is_finite(F.col("t")))
+    pitch = seen.withColumn("_q", quaternion()).select(*keys, "t", R.euler_degrees(F.col("_q"))["pitch"].alias("pitch"))
     enough = pitch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3).select(*keys)
     return time_derivative(
         pitch.join(enough, list(keys), "left_semi"), {"rate": "pitch"}, keys=keys, width=width
@@ -194,11 +194,14 @@ def vehicle_motion(
         used = "highpass (fallback)" if gravity == "quat" else "highpass"
         turned = R.keep(rows.where(by_attitude), "_r", R.minus(R.named("_w"), R.named("_g")))
         turned = R.keep(turned, "_d", R.rotate(q, R.named("_r"), inverse=True)).drop("_rx", "_ry", "_rz")
-        slow = R.keep(rows.where(~by_attitude), "_d", acc)
-        slow = high_pass(slow, ["_dx", "_dy", "_dz"], seconds=highpass_seconds, keys=keys)
-        rows = turned.withColumn("gravity_used", F.lit("quat")).unionByName(
-            slow.withColumn("gravity_used", F.lit(used))
-        )
+        out = turned.withColumn("gravity_used", F.lit("quat"))
+        # The moving mean is planned only when some video needs it.
+        if gravity == "highpass" or not telemetry.join(enough, keys, "left_anti").isEmpty():
+            slow = high_pass(
+                R.keep(rows.where(~by_attitude), "_d", acc), ["_dx", "_dy", "_dz"], seconds=highpass_seconds, keys=keys
+            )
+            out = out.unionByName(slow.withColumn("gravity_used", F.lit(used)))
+        rows = out
 
     rows = rows.withColumns({"_gn": R.length(R.named("_g")), "_mn": R.length(R.named("med_"))})
     rows = R.keep(rows, "_u", R.unit(R.named("_g"), F.col("_gn")))

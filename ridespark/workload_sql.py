@@ -453,14 +453,14 @@ CTE["motion"] = f"""select * from (
   n4 as (select *, kx0/sn as kx, ky0/sn as ky, kz0/sn as kz from n3),
   n5 as (select *, (kx*dx + ky*dy + kz*dz) * (1 - c) as kv from n4),
   n6 as (select *, dx*c + (ky*dz - kz*dy)*sn + kx*kv as lx, dy*c + (kz*dx - kx*dz)*sn + ky*kv as ly, dz*c + (kx*dy - ky*dx)*sn + kz*kv as lz, degrees(acos(c)) as tilt from n5)
-  select video_id, sample_idx, -(case lateral_axis when 'X' then lx when 'Y' then ly else lz end) as lateral,
+  select video_id, sample_idx, -(case lateral_axis when 'X' then lx when 'Y' then ly else lz end) as lat_,
     (case longitudinal_axis when 'X' then lx when 'Y' then ly else lz end) as longitudinal,
     sgn * (case vertical_axis when 'X' then lx when 'Y' then ly else lz end) as vertical, tilt from n6)"""
 _DEPENDS["motion"] = ["euler", "axes"]
 add(
     "vehicle_motion",
     ["motion"],
-    f"select video_id, sample_idx, {cols(['lateral', 'longitudinal', 'vertical'], 5)}, {r(hyp('lateral', 'longitudinal'), 5)} as combined, {r('tilt', 5)} as tilt from motion",
+    f'''select video_id, sample_idx, {r('lat_', 5)} as "lateral", {cols(['longitudinal', 'vertical'], 5)}, {r(hyp('lat_', 'longitudinal'), 5)} as combined, {r('tilt', 5)} as tilt from motion''',
 )
 add("camera_tilt", ["motion"], f"select video_id, {r(UPPER.format(x='tilt'), 5)} as tilt_deg from motion group by video_id")
 add(
@@ -939,7 +939,7 @@ add(
     "request_audit",
     ["clips"],
     "select edit_id, count(*) as clips, count(distinct video_id) as videos, count(*) filter (where mandatory) as mandatory_clips, "
-    f"{r('round(sum(end_s - start_s), 3)')} as requested_s from clips group by edit_id",
+    f"{r('sum(end_s - start_s)')} as requested_s from clips group by edit_id",
 )
 add(
     "request_findings",
@@ -1040,8 +1040,8 @@ add("rate_text", [], f"select event_id, {r('case when event_id % 7 = 0 then 0 el
 add(
     "path_kinds",
     [],
-    "select page_id, case page_id % 3 when 0 then 'video' when 1 then 'audio' else case when regexp_matches(lower(url), '[^/]\\.(mp3|wav|ogg|flac)$') then 'audio' "
-    "when regexp_matches(lower(url), '[^/]\\.(mp4|mov|mkv|avi)$') then 'video' else 'other' end end as kind from pages",
+    "select page_id, case when regexp_matches(p, '[^/]\\.(mp3|wav|ogg|flac)$') then 'audio' when regexp_matches(p, '[^/]\\.(mp4|mov|mkv|avi)$') then 'video' else 'other' end as kind "
+    "from (select page_id, lower(url) || case page_id % 3 when 0 then '.mp4' when 1 then '.wav' else '' end as p from pages)",
 )
 
 

@@ -41,7 +41,7 @@ from .operators import (
 )
 from .plans.intervals import drop_overlapping
 from .schemas import DELTA_SOURCES, SAMPLE_COLUMNS, SIGNAL_COLUMNS
-from .session import checkpoint_folder
+from .session import checkpoint_folder, freeze
 from .sources import flightlog, lists, manifest as manifests, sinks
 from .streaming import live
 
@@ -441,7 +441,7 @@ def top_segments(spark, folder):
 
 @query
 def merge_ranges(spark, folder):
-    return rounded(segments.merge_ranges(A.clips(spark, folder), width=5.0))
+    return rounded(segments.merge_ranges(A.clips(spark, folder), width=5.0).drop("members"))
 
 
 @query
@@ -617,9 +617,9 @@ def _edit_requests(spark, folder):
     )
     line = F.col("video_id") * 10
     return (
-        row(F.lit(0.0), F.col("duration") - 6, False, line + 1)
+        row(F.lit(4.0), F.col("duration") - 6, False, line + 1)
         .unionByName(row(F.col("duration") - 12, F.col("duration"), False, line + 2))
-        .unionByName(row(F.lit(2.0), F.lit(3.0), True, line + 3))
+        .unionByName(row(F.lit(0.0), F.lit(1.0), True, line + 3))
     )
 
 
@@ -991,7 +991,8 @@ def power_colours(spark, folder):
 def _list_lines(spark, folder):
     rows = A.annotations(spark, folder).join(A.manifest(spark, folder), "video_id")
     video = F.concat(F.lit("Ride Day "), F.col("group_id"), F.lit("/"), F.col("video_id").cast("string"), F.lit(".mp4"))
-    return lists.write_training_lines(rows.withColumns({"file": F.col("annotation"), "video": video}))
+    # lists are files in real use: written once, then parsed
+    return freeze(lists.write_training_lines(rows.withColumns({"file": F.col("annotation"), "video": video})))
 
 
 @query
@@ -1026,7 +1027,7 @@ def _request_lines(spark, folder):
         file.alias("file"), (line_no + 1).cast("int").alias("line_no"),
         F.concat(at(F.col("start_s")), F.lit(" "), at(F.col("end_s")), star).alias("line"),
     )
-    return head.unionByName(body)
+    return freeze(head.unionByName(body))
 
 
 @query
