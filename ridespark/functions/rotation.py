@@ -96,7 +96,7 @@ def rotate_onto(df: DataFrame, source: Vec, target: Vec, v: Vec, out: str) -> Da
     h = named("_h")
     df = df.withColumn("_hn", length(h))
     df = keep(df, "_h", tuple(F.coalesce(x, y) for x, y in zip(unit(h, F.col("_hn")), fixed(0, 0, 1))))
-    df = keep(df, "_k", tuple(p / s for p in k))
+    df = keep(df, "_k", tuple(F.when(s >= 1e-9, p / s) for p in k))
     df = df.withColumns({"_hv": dot(h, v), "_kv": dot(k, v) * (1 - c)})
     kxv = cross(k, v)
     turned = tuple(

@@ -92,6 +92,7 @@ def score_requests(
         )
         stats = append_window_value(stats, rms, "pitch_rate_rms", keys=REQUEST).where(F.col("pitch_rate_rms").isNotNull())
         names.append("pitch_rate_rms")
+    stats = freeze(stats)  # read for the statistics and for the scaling
     return score(zscore(stats, names, keys=REQUEST)).select(*REQUEST, "window_index", "start_s", "end_s", "score")
 
 

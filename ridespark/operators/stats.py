@@ -23,8 +23,10 @@ def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]
     aggs = []
     for i, (x, y) in enumerate(pairs.values()):
         a, b = short[str(x)], short[str(y)]
-        both = F.col(a) + F.col(b)  # null when either is
-        aggs += [F.corr(a, b).alias(f"r{i}"), F.count(both).alias(f"n{i}")]
+        own, other = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        # corr() fails on a constant column under ANSI rules, so the quotient is taken here
+        spread = F.stddev_pop(own) * F.stddev_pop(other)
+        aggs += [F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}"), F.count(own).alias(f"n{i}")]
     wide = df.groupBy(*keys).agg(*aggs)
     rows = F.explode(
         F.array(
@@ -32,7 +34,7 @@ def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]
                 F.struct(
                     F.lit(a).alias("signal_a"),
                     F.lit(b).alias("signal_b"),
-                    F.when((F.col(f"n{i}") >= 3) & ~F.isnan(f"r{i}"), F.col(f"r{i}")).alias(value),
+                    F.when(F.col(f"n{i}") >= 3, F.col(f"r{i}")).alias(value),
                     F.col(f"n{i}").alias("n"),
                 )
                 for i, (a, b) in enumerate(pairs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.ordered import running
+from ..session import freeze
 from .asof import first_at_or_after, nearest
 from .selection import EDIT, SLACK
 
@@ -111,6 +112,7 @@ def synchronize(
     """
     if mode == "off":
         return timeline
+    timeline = freeze(timeline)  # read for the points, the totals and the new positions
     music = edits.join(tracks.select("track_id", F.col("duration").alias("_music")), "track_id")
     base = timeline.drop("position", "output_start", "output_end").join(music, EDIT, "left")
     own = ["track_id", *_point_columns()]
@@ -143,6 +145,7 @@ def synchronize(
             "_e": F.when(~F.col("mandatory") & fine, F.col("_e")).otherwise(F.col("source_end")),
         }
     )
+    proposal = freeze(proposal)
     totals = proposal.groupBy(EDIT).agg(
         F.sum(F.col("source_end") - F.col("source_start")).alias("_before"),
         F.sum(F.col("_e") - F.col("_s")).alias("_after"),

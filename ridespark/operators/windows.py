@@ -48,11 +48,11 @@ def sampling_grid(
     extent = samples.groupBy(*keys).agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("t").alias("n_samples")
     )
-    n_w, n_s = (F.round(F.lit(x) / F.col("dt")) for x in (window, stride))
-    off = lambda x, n: F.abs(F.lit(x) / F.col("dt") - n) > LATTICE_TOLERANCE
+    n_w, n_s = (F.round(F.try_divide(F.lit(float(x)), F.col("dt"))) for x in (window, stride))
+    off = lambda x, n: F.abs(F.try_divide(F.lit(float(x)), F.col("dt")) - n) > LATTICE_TOLERANCE
     span = F.col("last_t") - (F.col("first_t") - F.col("dt"))
     by_time = F.floor((span - window + 1e-9) / stride) + 1
-    by_rows = F.floor((F.col("n_samples") - n_w) / n_s) + 1
+    by_rows = F.floor(F.try_divide(F.col("n_samples") - n_w, n_s)) + 1
     issue = (
         F.when(F.col("dt").isNull(), "too_few_samples")
         .when(off(window, n_w), "window_off_lattice")

@@ -40,8 +40,8 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     rows = blocks.select("file", lines.alias("_l")).where(F.size("_l") >= 3)
     rows = rows.select(
         "file",
-        _clock(F.regexp_extract(F.col("_l")[1], _TIMING, 1)).alias("t"),
-        _clock(F.regexp_extract(F.col("_l")[1], _TIMING, 2)).alias("end_s"),
+        _clock(F.regexp_extract(F.get("_l", F.lit(1)), _TIMING, 1)).alias("t"),
+        _clock(F.regexp_extract(F.get("_l", F.lit(1)), _TIMING, 2)).alias("end_s"),
         _entities(F.regexp_replace(F.array_join(F.slice("_l", F.lit(3), F.size("_l")), " "), "</?font[^>]*>", "")).alias("_body"),
     ).where(F.col("end_s") > F.col("t"))
     body = F.col("_body")

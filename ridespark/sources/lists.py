@@ -17,7 +17,7 @@ ANNOTATION_FIELDS = ("start", "end", "mtb")  # fixed value: words of the header
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line of every text file under `path`, with its file and number."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     text = F.regexp_replace(F.col("value"), "^﻿", "")
     return files.select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_i", "line")
@@ -115,7 +115,7 @@ def parse_requests(
         .otherwise("full")
     )
     rows = rows.withColumns({"_p": part, "_kind": kind, "_size": F.size(part)})
-    named = F.when(F.col("_kind") == "video", F.col("line")).when(F.col("_kind") == "full", F.col("_p")[0])
+    named = F.when(F.col("_kind") == "video", F.col("line")).when(F.col("_kind") == "full", F.get("_p", F.lit(0)))
     rows = rows.withColumn("_named", resolve_against(named, F.col("file")))
     # a request list is one short file, so one file is one window partition
     w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
