@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_TIMING = r"^(.+?)\s*-->\s*(.+?)$"
-_CLOCK = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})$"
+_CLOCK = r"\d{2}:\d{2}:\d{2}[,.]\d{3}"
+# a counter line, the timing line, then the text of the frame
+_BLOCK = rf"^\s*\S[^\r\n]*[\r\n]+[ \t]*({_CLOCK})\s*-->\s*({_CLOCK})[ \t]*[\r\n]+\s*(\S[\s\S]*)$"
 _BLANK = r"\r?\n[ \t]*\r?\n"
 
 
@@ -20,9 +21,9 @@ def read_blocks(spark: SparkSession, path: str, *, separator: str = "\n\n") -> D
 
 
 def _clock(text: Column) -> Column:
-    text = F.trim(text)
-    h, m, s, ms = (F.regexp_extract(text, _CLOCK, i).try_cast("int") for i in range(1, 5))
-    return F.when(text.rlike(_CLOCK), h * 3600 + m * 60 + s + ms / 1000.0)
+    """Seconds of ``HH:MM:SS,mmm`` text of exactly that width."""
+    part = lambda start, n: F.substring(text, start, n).try_cast("int")
+    return part(1, 2) * 3600 + part(4, 2) * 60 + part(7, 2) + part(10, 3) / 1000.0
 
 
 def _entities(text: Column) -> Column:
@@ -34,16 +35,15 @@ def _entities(text: Column) -> Column:
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:
     """Telemetry rows of all readable blocks; others (no timing, no length) are skipped."""
-    lines = F.filter(
-        F.transform(F.split("block", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != ""
+    group = lambda i: F.translate(F.regexp_extract("block", _BLOCK, i), ".", ",")
+    text_of = F.regexp_extract("block", _BLOCK, 3)
+    plain = F.regexp_replace(F.regexp_replace(text_of, r"\s*[\r\n]+\s*", " "), "</?font[^>]*>", "")
+    # times of this form compare as text, so rows are dropped before anything is computed
+    rows = (
+        blocks.select("file", group(1).alias("_from"), group(2).alias("_to"), _entities(plain).alias("_body"))
+        .where(F.col("_to") > F.col("_from"))
+        .select("file", _clock(F.col("_from")).alias("t"), _clock(F.col("_to")).alias("end_s"), "_body")
     )
-    rows = blocks.select("file", lines.alias("_l")).where(F.size("_l") >= 3)
-    rows = rows.select(
-        "file",
-        _clock(F.regexp_extract(F.get("_l", F.lit(1)), _TIMING, 1)).alias("t"),
-        _clock(F.regexp_extract(F.get("_l", F.lit(1)), _TIMING, 2)).alias("end_s"),
-        _entities(F.regexp_replace(F.array_join(F.slice("_l", F.lit(3), F.size("_l")), " "), "</?font[^>]*>", "")).alias("_body"),
-    ).where(F.col("end_s") > F.col("t"))
     body = F.col("_body")
     none = lambda x: F.nullif(x, F.lit(""))
     text = lambda name: F.trim(none(F.regexp_extract(body, rf"(?i)\[{name}:\s*([^\]]*)\]", 1)))

@@ -1047,7 +1047,7 @@ def _log_blocks(spark, folder):
         F.when(F.pmod("event_id", F.lit(3)) != 0, F.col("rate") / 2).alias("lon"),
     )
     rows = rows.withColumn("lon", F.coalesce(F.col("lon").cast("string"), F.lit("n/a")))
-    return rows.select("file", flightlog.block_text().alias("block"))
+    return freeze(rows.select("file", flightlog.block_text().alias("block")))  # a log is a file: written, then parsed
 
 
 @query

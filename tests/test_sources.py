@@ -54,7 +54,7 @@ def test_request_lists(spark, tmp_path):
         ["# edit", "", "one.mp4", "0:05 0:20", "0:21 0:22", "0:30 0:31 *", "two.mp4 1:00 1:10", "1:20 1:30", "three.mp4", "four.mp4", "0:00 0:01", "my song's.mp3 *", "late one.wav"]
     )
     write(tmp_path, "e.txt", body)
-    base = f"file://{tmp_path}/"
+    base = lists.read_lines(spark, str(tmp_path)).first().file.rsplit("/", 1)[0] + "/"
     videos = spark.createDataFrame([(base + "three.mp4", 33.0), (base + "four.mp4", 44.0)], "video string, duration double")
     clips, music, issues = lists.parse_requests(lists.read_lines(spark, str(tmp_path)), videos)
     got = [(r.video.rsplit("/", 1)[1], r.start_s, r.end_s, r.mandatory, r.annotation_order) for r in clips.orderBy("annotation_order").collect()]
