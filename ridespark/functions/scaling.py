@@ -13,7 +13,7 @@ def compress_spikes(x: Column, knee: float = 5.0, slope: float = 0.2) -> Column:
 
 def clip(x: Column, low, high) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.greatest(lit(low), F.least(lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(lit(low), F.least(lit(high), x)))
 
 
 def sigmoid_gate(x: Column, low: Column, high: Column) -> Column:

@@ -179,21 +179,21 @@ def fit_pairwise(table: DataFrame, names: Sequence[str] = FEATURE_COLUMNS, *, ri
     d = len(names)
     x = [F.col(n).cast("double") for n in names]
     sums = table.groupBy("video_id", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in x]).alias("s")
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(c) for c in x]).alias("_s")
     )
-    other = sums.select("video_id", F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    other = sums.select("video_id", F.col("label").alias("label2"), F.col("_n").alias("n2"), F.col("_s").alias("s2"))
     pairs = sums.join(other, "video_id").where(F.col("label") != F.col("label2"))  # at most 12 per video
     weight = F.abs(gain(F.col("label")) - gain(F.col("label2")))
-    row_weight = pairs.groupBy("video_id", "label").agg(F.sum(weight * F.col("n2")).alias("c"))
+    row_weight = pairs.groupBy("video_id", "label").agg(F.sum(weight * F.col("n2")).alias("_c"))
     upper = pairs.where(F.col("label") > F.col("label2")).select(
-        F.col("s").alias("a"), F.col("s2").alias("b"), weight.alias("w"), "n", "n2"
+        F.col("_s").alias("a"), F.col("s2").alias("b"), weight.alias("w"), F.col("_n").alias("n"), "n2"
     )
 
     def products(batches):
         total = np.zeros((d, d))
         for pdf in batches:
-            m = np.asarray(pdf["x"].tolist(), dtype=float).reshape(len(pdf), d)
-            total += (m * pdf["c"].to_numpy(dtype=float)[:, None]).T @ m
+            m = np.asarray(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), d)
+            total += (m * pdf["_c"].to_numpy(dtype=float)[:, None]).T @ m
         yield pd.DataFrame({"i": range(d), "row": list(total)})
 
     def crosses(batches):
@@ -207,7 +207,7 @@ def fit_pairwise(table: DataFrame, names: Sequence[str] = FEATURE_COLUMNS, *, ri
             rhs += (w * (n2 * a - n * b)).sum(axis=0)
         yield pd.DataFrame({"i": range(d + 1), "row": [*total, rhs]})
 
-    rows = table.join(row_weight, ["video_id", "label"]).select(F.array(*x).alias("x"), "c")
+    rows = table.join(row_weight, ["video_id", "label"]).select(F.array(*x).alias("_x"), "_c")
     parts = rows.mapInPandas(products, "i int, row array<double>").unionByName(
         upper.mapInPandas(crosses, "i int, row array<double>")
     )

@@ -15,6 +15,7 @@ from ..functions import rotation as R
 from ..functions.geo import bearing_degrees, compass, haversine_m, position
 from ..plans.ordered import CHUNK, HALO, halo_one_row, running
 from ..plans.quantiles import exact_quantiles
+from ..session import freeze
 from .asof import nearest
 from .signals import is_finite
 from .smoothing import high_pass, time_derivative
@@ -197,9 +198,8 @@ def vehicle_motion(
         out = turned.withColumn("gravity_used", F.lit("quat"))
         # The moving mean is planned only when some video needs it.
         if gravity == "highpass" or not telemetry.join(enough, keys, "left_anti").isEmpty():
-            slow = high_pass(
-                R.keep(rows.where(~by_attitude), "_d", acc), ["_dx", "_dy", "_dz"], seconds=highpass_seconds, keys=keys
-            )
+            slow = freeze(R.keep(rows.where(~by_attitude), "_d", acc))  # read once per running sum
+            slow = high_pass(slow, ["_dx", "_dy", "_dz"], seconds=highpass_seconds, keys=keys)
             out = out.unionByName(slow.withColumn("gravity_used", F.lit(used)))
         rows = out
 

@@ -473,7 +473,7 @@ add(
 )
 add("euler_angles", ["euler"], f"select video_id, sample_idx, {cols(['roll', 'pitch', 'yaw'], 5)} from euler")
 HAV = (
-    "2 * 6371008.8::double * asin(least(1, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))))"
+    "case when plat is not null then 2 * 6371008.8::double * asin(least(1, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) end"
 )
 add(
     "gps_track",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridespark import workloads
-from ridespark.operators import audit, learning, smoothing, telemetry
+from ridespark.operators import audit, learning, normalize, smoothing, telemetry
 from ridespark.schemas import DELTA_SOURCES, FEATURE_COLUMNS, GAINS, SAMPLE_COLUMNS
 from ridespark.streaming import live
 
@@ -23,7 +23,7 @@ def table(spark):
             x[0] += 1.5 * label
             data.append((video, f"g{video % 3}", k, 2.0 * k, 2.0 * k + 4, label, *map(float, x)))
     schema = "video_id long, group_id string, window_index int, start_s double, end_s double, label int, a double, b double, c double"
-    return spark.createDataFrame(data, schema).cache()
+    return normalize.zscore(spark.createDataFrame(data, schema), NAMES, dtype="double").cache()
 
 
 def test_pairwise_equals_all_pairs(table):
