@@ -10,7 +10,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def live_windows(
@@ -46,44 +46,35 @@ def live_distinct(stream: DataFrame, columns: Sequence[str], *, lateness: str =
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(columns))
 
 
-class _Difference(StatefulProcessor):
-    """Keeps the last value of a key; rows of a batch are taken in `t` order."""
-
-    def __init__(self, value: str):
-        self.value = value
+def live_delta(stream: DataFrame, value: str, *, key_type: str = "long", keep_hours: int | None = None) -> DataFrame:
+    """First difference of `value` per video across micro-batches; 0 for the first row.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double, x double", 24 * 3600 * 1000)
+    Rows of a video arrive in time order. The state is one value per video. With
+    `keep_hours` it is dropped when a video has been silent that long; such a stream never
+    runs out of batches, so leave it unset for runs that end (`availableNow`).
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
-        # Batches of one key arrive chunk by chunk, already sorted by the caller's time order.
-        for pdf in rows:
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else None
+        for pdf in batches:
             pdf = pdf.sort_values("t", kind="stable")
-            x = pdf[self.value].astype(float)
+            x = pdf[value].astype(float)
             delta = x.diff()
-            delta.iloc[0] = 0.0 if before is None else x.iloc[0] - before[1]
-            before = (float(pdf["t"].iloc[-1]), float(x.iloc[-1]))
+            delta.iloc[0] = 0.0 if before is None else x.iloc[0] - before
+            before = float(x.iloc[-1])
             yield pd.DataFrame({"video_id": key[0], "t": pdf["t"], "delta": delta})
-        if before is not None:
-            self.last.update(before)
-
-    def close(self) -> None:
-        pass
+        state.update((before,))
+        if keep_hours is not None:
+            state.setTimeoutDuration(keep_hours * 3600 * 1000)
 
-
-def live_delta(stream: DataFrame, value: str, *, key_type: str = "long") -> DataFrame:
-    """First difference of `value` per video across micro-batches; 0 for the first row.
-
-    Needs the RocksDB state store. Rows of a video arrive in time order.
-    """
+    timeout = GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout
     return (
         stream.select("video_id", "t", value)
         .groupBy("video_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_Difference(value),
-            outputStructType=f"video_id {key_type}, t double, delta double",
-            outputMode="append",
-            timeMode="processingTime",
+        .applyInPandasWithState(
+            step, f"video_id {key_type}, t double, delta double", "x double", "append", timeout
         )
     )
