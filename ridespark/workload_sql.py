@@ -1105,3 +1105,8 @@ add(
     select event_type, min(us) as first_us, max(us) as last_us, count(*) as events from i, m group by event_type, isl, mark having max(us) + 1200000000 <= mark""",
 )
 add("live_distinct", [], "select distinct user_id as video_id, event_type from events")
+add(
+    "live_deltas",
+    ["rates"],
+    f"select video_id, {r('t')} as t, {r('coalesce(rate - lag(rate) over (partition by video_id order by t), 0)')} as delta from rates",
+)

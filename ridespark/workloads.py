@@ -1101,3 +1101,11 @@ def live_distinct(spark, folder):
     rows = _event_stream(spark, folder).select("video_id", "event_type", "ts")
     out = live.live_distinct(rows, ["video_id", "event_type"], lateness="40 days")
     return _run_stream(spark, out).select("video_id", "event_type")
+
+
+@query
+def live_deltas(spark, folder):
+    stream = _event_stream(spark, folder)
+    t = (F.unix_micros("ts") - A.EPOCH_US) / A.US_PER_SECOND
+    out = live.live_delta(stream.withColumn("t", t), "value")
+    return rounded(_run_stream(spark, out))
