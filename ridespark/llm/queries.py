@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, tokenids
+from . import decontaminate, language, tokenids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,11 @@ def op1_decontamination(spark, folder):
     return decontaminate.digests(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query
+def op2_language(spark, folder):
+    return language.held_out_predictions(read(spark, folder, "documents"))
+
+
 @query
 def op10_token_files(spark, folder):
     return tokenids.token_digests(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
