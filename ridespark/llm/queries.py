@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, tokenids
+from . import decontaminate, language, mixing, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,16 @@ def op2_language(spark, folder):
     return language.held_out_predictions(read(spark, folder, "documents"))
 
 
+@query
+def op6_mixing(spark, folder):
+    return mixing.mixed_sizes(read(spark, folder, "documents"))
+
+
+@query
+def op7_toxicity(spark, folder):
+    return toxicity.held_out_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op10_token_files(spark, folder):
     return tokenids.token_digests(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
