@@ -11,7 +11,6 @@ the marks carried along. So what is broadcast is bounded whatever the benchmark'
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, mixing, tokenids, toxicity
+from . import decontaminate, fingerprint, language, mixing, repeats, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,11 @@ def op7_toxicity(spark, folder):
     return toxicity.held_out_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query
+def op8_repeats(spark, folder):
+    return repeats.digests(read(spark, folder, "documents"))
+
+
 @query
 def op9_fingerprints(spark, folder):
     return fingerprint.edited_fingerprints(read(spark, folder, "documents"))

@@ -21,3 +21,16 @@ items as (select doc_id, count(*) n, string_agg(s, ',' order by s) l from (selec
 select d.doc_id, len(w) n_words, coalesce(c.n, 0) n_hit, coalesce(i.n, 0) n_items, sha256(coalesce(i.l, '')) items_sha256, coalesce(c.n, 0) > 0 contaminated
 from d left join covered c using (doc_id) left join items i using (doc_id)
 """
+
+SQL["op8_repeats"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) k from win) where k > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) p from again),
+kept as (
+  select w.doc_id, string_agg(x, ' ' order by w.p) s
+  from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d where len(w) > 0) w anti join gone on w.doc_id = gone.doc_id and w.p = gone.p
+  group by w.doc_id)
+select d.doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(s, '')) kept_sha256
+from d left join kept using (doc_id) left join (select doc_id, count(*) n from gone group by doc_id) using (doc_id)
+"""
