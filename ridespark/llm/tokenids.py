@@ -29,7 +29,7 @@ from .words import ragged, slices
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SLICE_TEXT = 8 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
 #: Bytes of the four ranks under each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -38,16 +38,18 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 # -- coding -------------------------------------------------------------------
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes; the count is padded to a multiple of four with rank 0."""
-    n = len(ranks)
-    padded = np.zeros(-(-n // 4) * 4, np.uint32)
-    padded[:n] = ranks
-    size = 1 + (padded > 0xFF) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    code = (size - 1).astype(np.uint8).reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    whole = padded.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), whole[np.arange(4) < size[:, None]].tobytes()
+def encode(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control and data bytes of every document; `counts` says how many of the ranks each has."""
+    groups = -(-counts // 4)
+    padded = np.zeros(int(groups.sum()) * 4, np.uint32)
+    padded[ragged(4 * (np.cumsum(groups) - groups), counts)] = ranks
+    size = (1 + (padded > 0xFF) + (padded > 0xFFFF) + (padded > 0xFFFFFF)).astype(np.uint8)
+    code = (size - 1).reshape(-1, 4)
+    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8).tobytes()
+    data = padded.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    c = np.concatenate(([0], np.cumsum(groups)))
+    d = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[4 * c]
+    return [(control[c[i] : c[i + 1]], data[d[i] : d[i + 1]]) for i in range(len(counts))]
 
 
 def decode(control: bytes, data: bytes) -> np.ndarray:
@@ -65,6 +67,80 @@ def decode(control: bytes, data: bytes) -> np.ndarray:
 # -- tokens -------------------------------------------------------------------
 
 _loaded: dict[int, tuple] = {}
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Memo:
+    """Ids of the words met so far: a word's number, and per number its place in one array of ids."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Words without special tokens are encoded together, with one between them."""
+        if not words:
+            return []
+        if not self.special:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        mark = self.special[0]
+        all_ = "\n".join(words)
+        odd = {w for w in words if any(s in w for s in self.special)} if any(s in all_ for s in self.special) else set()
+        plain = [w for w in words if w not in odd] if odd else words
+        joined = [mark.join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
+        code = self.tokenizer.token_to_id(mark)
+        found = []
+        for i in range(0, len(joined), 200):
+            for j, e in enumerate(self.tokenizer.encode_batch_fast(joined[i : i + 200], add_special_tokens=False), i):
+                ids = e.ids
+                at = [-1, *(k for k, x in enumerate(ids) if x == code), len(ids)]
+                if len(at) != len(plain[50 * j : 50 * j + 50]) + 1:
+                    raise ValueError("the special token does not part words")
+                found += [ids[a + 1 : b] for a, b in itertools.pairwise(at)]
+        if not odd:
+            return found
+        known = dict(zip(plain, found, strict=True))
+        return [known[w] if w in known else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+    def add(self, words: list[str]) -> None:
+        """Encodes new words. Letters and the signs that end a word are separate to the tokenizer, and so is case."""
+        number = self.number
+        cores, ends = [], []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                cores.append(core.lower())
+                ends.append(w[len(core) :])
+            else:
+                cores.append(w)
+                ends.append("")
+        new = [w for w in dict.fromkeys(itertools.chain(cores, ends)) if w not in number]
+        first = len(self.lengths)
+        self._store(self.encode(new))
+        number.update(zip(new, range(first, first + len(new)), strict=True))
+        # a word with an ending sign, from the ids of both; any other is its core
+        pairs = [(w, a, b) for w, a, b in zip(words, cores, ends, strict=True) if b]
+        number.update((w, number[a]) for w, a, b in zip(words, cores, ends, strict=True) if not b)
+        if pairs:
+            at = np.array([(number[a], number[b]) for _, a, b in pairs], np.int64)
+            ids = self.ids[ragged(self.starts[at].ravel(), self.lengths[at].ravel())]
+            first = len(self.lengths)
+            self._append(ids, self.lengths[at].sum(axis=1))
+            number.update((w, first + i) for i, (w, _, _) in enumerate(pairs))
+
+    def _store(self, pieces: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self._append(np.fromiter(itertools.chain.from_iterable(pieces), np.uint32, int(lengths.sum())), lengths)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.ids = np.concatenate((self.ids, ids))
 
 
 def _tokenizer(definition: str):
@@ -77,16 +153,18 @@ def _tokenizer(definition: str):
         from tokenizers import Tokenizer
 
         _loaded.clear()
-        _loaded[key] = (Tokenizer.from_str(definition), {})
+        tokenizer = Tokenizer.from_str(definition)
+        _loaded[key] = (tokenizer, Memo(tokenizer))
     return _loaded[key]
 
 
 def ids_of_texts(texts: pa.Array, definition: str, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each text has.
 
-    `by_word` encodes every distinct white-space separated word once. That gives the ids of the
-    whole text when the tokenizer drops white space before its merges and its special tokens
-    hold none, as the word tokenizer here does.
+    `by_word` encodes every distinct white-space separated word once, and of a word of letters and
+    ending signs both parts. That gives the ids of the whole text when the tokenizer drops white
+    space and case and parts letters from signs before its merges, and its special tokens hold no
+    white space, as the word tokenizer here does.
     """
     tokenizer, memo = _tokenizer(definition)
     texts = texts.fill_null("")
@@ -96,19 +174,16 @@ def ids_of_texts(texts: pa.Array, definition: str, by_word: bool) -> tuple[np.nd
     split = pc.ascii_split_whitespace(texts.cast(pa.string()))
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    if len(memo) > CACHED_WORDS:
+    if len(memo.number) > CACHED_WORDS:
         memo.clear()
-    missing = [w for w in words if w not in memo]
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for word, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            memo[word] = tuple(e.ids)
-    pieces = [memo[w] for w in words]
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.fromiter(itertools.chain.from_iterable(pieces), np.uint32)
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = flat[ragged((np.cumsum(lengths) - lengths)[index], lengths[index])]
-    sums = np.concatenate(([0], np.cumsum(lengths[index])))
+    number = memo.number
+    missing = [w for w in words if w not in number]
+    if missing:
+        memo.add(missing)
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+    lengths = memo.lengths[at]
+    ids = memo.ids[ragged(memo.starts[at], lengths)]
+    sums = np.concatenate(([0], np.cumsum(lengths)))
     at = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     return ids, np.diff(sums[at - at[0]])
 
@@ -134,19 +209,23 @@ def tokenize(
     return docs.mapInArrow(run, schema)
 
 
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and how many each row has."""
+    _, at, data = column.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return whole.view("<u4") if whole.ctypes.data % 4 == 0 else whole.copy().view("<u4"), np.diff(at) // 4
+
+
 def frequencies(tokens: DataFrame, ids: str = "ids") -> DataFrame:
     """id, n: how often each id occurs. A task sends at most one row per id."""
 
     def count(batches):
         seen = np.zeros(1, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                some = np.bincount(np.frombuffer(row.as_py(), "<u4"))
-                if len(some) > len(seen):
-                    some[: len(seen)] += seen
-                    seen = some
-                else:
-                    seen[: len(some)] += some
+            some = np.bincount(_ids(batch.column(0))[0], minlength=len(seen))
+            some[: len(seen)] += seen
+            seen = some
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["id", "n"])
 
@@ -177,8 +256,9 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_
     def code(batches):
         rank = table.value
         for batch in batches:
-            coded = [encode(rank[ids]) + (len(ids),) for ids in (np.frombuffer(x.as_py(), "<u4") for x in batch.column("ids"))]
-            cols = [pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.int64())]
+            ids, counts = _ids(batch.column("ids"))
+            coded = encode(rank[ids], counts)
+            cols = [pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.binary()), pa.array(counts)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *cols], names=["key", "control", "data", "n"])
 
     kind = tokens.schema["key"].dataType.simpleString()
