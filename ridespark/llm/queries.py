@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, mixing, repeats, tokenids, toxicity
+from . import decontaminate, fingerprint, jaccard, language, mixing, repeats, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,11 @@ def op2_language(spark, folder):
     return language.held_out_predictions(read(spark, folder, "documents"))
 
 
+@query
+def op3_jaccard(spark, folder):
+    return jaccard.components_of(read(spark, folder, "documents"))
+
+
 @query
 def op6_mixing(spark, folder):
     return mixing.mixed_sizes(read(spark, folder, "documents"))

@@ -34,3 +34,21 @@ kept as (
 select d.doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(s, '')) kept_sha256
 from d left join kept using (doc_id) left join (select doc_id, count(*) n from gone group by doc_id) using (doc_id)
 """
+
+SQL["op3_jaccard"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+grams as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),
+size as (select doc_id, count(*) n from grams group by doc_id),
+links as (
+  select a, b from (select x.doc_id a, y.doc_id b, count(*) k from grams x join grams y using (g) where x.doc_id < y.doc_id group by 1, 2)
+  join size p on p.doc_id = a join size q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)),
+reach as (
+  select doc_id c, doc_id r from size
+  union
+  select r.c, case when l.a = r.r then l.b else l.a end from reach r join links l on l.a = r.r or l.b = r.r)
+select d.doc_id, coalesce(n, 0) n_shingles, coalesce(m, d.doc_id) component_id
+from d left join size using (doc_id) left join (select c doc_id, min(r) m from reach group by c) using (doc_id)
+"""
