@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, jaccard, language, mixing, repeats, tokenids, toxicity
+from . import decontaminate, fingerprint, fixity, jaccard, language, mixing, repeats, tokencount, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,19 @@ def op3_jaccard(spark, folder):
     return jaccard.components_of(read(spark, folder, "documents"))
 
 
+@query
+def op4_fixity(spark, folder):
+    """The replica is the table with every page of a residue changed, and every one of another gone."""
+    residue = F.pmod("page_id", F.lit(50))
+    return fixity.page_audit(read(spark, folder, "pages"), changed=residue == 7, lost=residue == 31)
+
+
+@query
+def op5_token_counts(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return tokencount.counted(docs, vocabulary("word_bpe_49k.json")).drop("text")
+
+
 @query
 def op6_mixing(spark, folder):
     return mixing.mixed_sizes(read(spark, folder, "documents"))

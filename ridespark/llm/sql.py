@@ -52,3 +52,25 @@ reach as (
 select d.doc_id, coalesce(n, 0) n_shingles, coalesce(m, d.doc_id) component_id
 from d left join size using (doc_id) left join (select c doc_id, min(r) m from reach group by c) using (doc_id)
 """
+
+SQL["op4_fixity"] = r"""
+with r as (
+  select page_id, coalesce(html, '') b, page_id % 50 = 7 changed, page_id % 50 = 31 lost,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) h,
+    chr(13) || chr(10) || chr(13) || chr(10) e
+  from pages),
+leaf as (
+  select *, (pos - 1) // 4096 f, (pos - 1) % 4096 n, coalesce(sum(l) over (partition by (pos - 1) // 4096 order by pos rows between unbounded preceding and 1 preceding), 0) o
+  from (select row_number() over (order by page_id, d) pos, * from (
+    select page_id, strlen(h || b || e) l, sha256(h || b || e) d, case when lost then null when changed then sha256(h || '~' || substring(b, 2) || e) else sha256(h || b || e) end x from r))),
+a1 as (select f, n // 16 n, min(o) o, max(o + l) t, sha256(min(o) || ':' || max(o + l) || ':' || string_agg(d, '' order by n)) d from leaf group by 1, leaf.n // 16),
+a2 as (select f, n // 16 n, min(o) o, max(t) t, sha256(min(o) || ':' || max(t) || ':' || string_agg(d, '' order by n)) d from a1 group by 1, a1.n // 16),
+a3 as (select f, sha256(min(o) || ':' || max(t) || ':' || string_agg(d, '' order by n)) d from a2 group by 1),
+b1 as (select f, n // 16 n, min(o) o, max(o + l) t, sha256(min(o) || ':' || max(o + l) || ':' || string_agg(x, '' order by n)) d from leaf where x is not null group by 1, leaf.n // 16),
+b2 as (select f, n // 16 n, min(o) o, max(t) t, sha256(min(o) || ':' || max(t) || ':' || string_agg(d, '' order by n)) d from b1 group by 1, b1.n // 16),
+b3 as (select f, sha256(min(o) || ':' || max(t) || ':' || string_agg(d, '' order by n)) d from b2 group by 1),
+files as (select f, count(*) c, sum(l) s from leaf group by 1)
+select f.f::bigint file, c n_records, s::bigint n_bytes, a3.d root, b3.d replica_root, n::int no, o::bigint "offset", l::bigint length, case when x is null and n is not null then 'missing' when n is not null then 'changed' end kind
+from files f left join a3 on a3.f = f.f left join b3 on b3.f = f.f left join (select * from leaf where x is distinct from d) m on m.f = f.f
+"""
