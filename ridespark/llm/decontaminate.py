@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .tables import unused, written
+from .tables import refuse, unused, written
 from .words import ALPHANUMERIC, LOWER, inside, runs, slices, text_buffers, windows, words_of
 
 SIZE = 10
@@ -121,8 +121,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, out: str = "hits", size: int
 
     A null text has no words and no hits. Repeated rows are each scanned; an empty benchmark hits nothing.
     """
-    if out.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"the documents have a column {out}; choose another name")
+    refuse(docs, out)
     table = written(benchmark_windows(benchmark, size=size, **columns), "benchmark-windows")
     cost = F.length("words") + F.length("item") + 300  # what an entry takes in a Python dictionary
     total = table.agg(F.sum(cost)).first()[0] or 0

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import unused
+from .tables import refuse, unused
 from .words import mix, slices
 
 DIMENSIONS = 1024
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
     A null text, one without a letter, and any text under an empty model is `und` with score 0.
     Of languages with equal cosines the first by code point wins.
     """
+    refuse(docs, lang_out, score_out)
     names, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # one vector per language
     schema = docs.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema

@@ -18,11 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .keys import KEYS, doc_id, keyed, placed
 from .tables import written
-from .words import NOT_SPACE, inside, slices, text_buffers, windows, words_of
+from .words import NOT_SPACE, SLICE_BYTES, inside, slices, text_buffers, windows, words_of
 
 WINDOW = 20
 #: WINDOW - SEED + 1 seeds in a window: a power of two, for the running minimum.
@@ -75,7 +76,7 @@ def _repeated(batch: pa.RecordBatch, w, hashes, size: int, seed: int) -> np.ndar
     first, anchor = _anchors(w, hashes, size, seed)
     of = w.text_of()[first]
     listed = batch.column("_anchors")
-    counts = np.diff(listed.offsets.to_numpy(zero_copy_only=False)) if listed.null_count == 0 else np.array([len(x or ()) for x in listed.to_pylist()], np.int64)
+    counts = np.array(pc.list_value_length(listed), np.int64)
     values = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(values):
         return first[:0]
@@ -90,17 +91,16 @@ def extensions(joined: DataFrame, size: int, seed: int) -> DataFrame:
     """h1, h2, at: the windows around repeated anchors, and their place in the table."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = words_of(*text_buffers(batch.column("text")), NOT_SPACE)
-                h = w.hashes()
-                at = _repeated(batch, w, h, size, seed)
-                of = w.text_of()[at]
-                base = batch.column("_base").to_numpy(zero_copy_only=False)[of]
-                columns = [windows(h, size, s)[at].view(np.int64) for s in (3, 4)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(base + (at - w.first[of]))], names=["h1", "h2", "at"])
+        for batch in _unpacked(batches):
+            w = words_of(*text_buffers(batch.column("text")), NOT_SPACE)
+            h = w.hashes()
+            at = _repeated(batch, w, h, size, seed)
+            of = w.text_of()[at]
+            base = batch.column("_base").to_numpy(zero_copy_only=False)[of]
+            columns = [windows(h, size, s)[at].view(np.int64) for s in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(base + (at - w.first[of]))], names=["h1", "h2", "at"])
 
-    return joined.select("text", "_anchors", "_base").mapInArrow(scan, "h1 long, h2 long, at long")
+    return joined.where(F.size("_anchors") > 0).select("_z", "_anchors", "_base").mapInArrow(scan, "h1 long, h2 long, at long")
 
 
 def removal(docs: DataFrame, *, size: int = WINDOW, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,50 +120,85 @@ def removal(docs: DataFrame, *, size: int = WINDOW, seed: int = SEED, key: str =
 
     found = anchors(rows, size, seed)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    lists = found.join(often, "anchor", "left_semi").groupBy("_row").agg(F.collect_set("anchor").alias("_anchors"))
-    lists = written(lists, "anchors")
-    joined = rows.join(places.withColumn("_row", F.xxhash64(*KEYS)), ["_row", *KEYS]).join(lists, "_row", "left")
-    joined = joined.withColumn("_anchors", F.coalesce("_anchors", F.array().cast("array<long>")))
-    firsts = extensions(joined.where(F.size("_anchors") > 0), size, seed).groupBy("h1", "h2").agg(F.min("at").alias("at"))
-    firsts = firsts.select(F.shiftright("at", bits).alias("_g"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("at"))
-    firsts = firsts.groupBy("_g").agg(F.collect_list("at").alias("_firsts")).select(F.shiftleft("_g", bits).alias("_base"), "_firsts")
-    # only documents with windows of their own go through the second join's other side
-    keep = joined.select("_row", *KEYS, "_base", "_anchors", "text", F.row_number().over(W.partitionBy("_row", *KEYS).orderBy("_base")).alias("_k"))
-    back = written(firsts, "firsts").join(places.withColumn("_row", F.xxhash64(*KEYS)).select("_row", *KEYS, "_base"), "_base").select("_row", *KEYS, "_firsts")
+    lists = written(found.join(often, "anchor", "left_semi").groupBy("_row").agg(F.collect_set("anchor").alias("_anchors")), "anchors")
+    places = places.withColumn("_row", F.xxhash64(*KEYS))
+    around = places.join(lists, "_row", "left").withColumn("_anchors", F.coalesce("_anchors", F.array().cast("array<long>")))
+    around = written(around, "around")
+    # texts are dealt out once, for both uses below
+    joined = _packed(rows).join(around, ["_row", *KEYS])
+    firsts = extensions(joined, size, seed).groupBy("h1", "h2").agg(F.min("at").alias("at"))
+    firsts = firsts.select(F.shiftleft(F.shiftright("at", bits), bits).alias("_base"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("at"))
+    firsts = firsts.groupBy("_base").agg(F.collect_list("at").alias("_firsts"))
+    back = firsts.join(places, "_base").select("_row", *KEYS, "_firsts")
+    keep = joined.withColumn("_k", F.row_number().over(W.partitionBy("_row", *KEYS).orderBy("_base")))
     return _removed(keep.join(back, ["_row", *KEYS], "left"), size, seed)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """`rows` with the text compressed, column `_z`: it is most of what is shuffled."""
+    import zstandard
+
+    def pack(batches):
+        coder = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                z = [coder.compress(t.encode()) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(z, pa.binary())], names=[*kept, "_z"])
+
+    kept = ["_row", *KEYS]
+    kind = dict(rows.dtypes)["_id"]
+    return rows.select(*kept, "text").mapInArrow(pack, f"_row long, _no boolean, _id {kind}, _h long, _z binary")
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with `text` for `_z`."""
+    import zstandard
+
+    coder = zstandard.ZstdDecompressor()
+    for whole in batches:
+        z = whole.column("_z")
+        rest = whole.select([c for c in whole.schema.names if c != "_z"])
+        i = 0
+        while i < whole.num_rows:
+            j, size, texts = i, 0, []
+            while j < whole.num_rows and size < SLICE_BYTES:
+                texts.append(coder.decompress(z[j].as_py()).decode())
+                size += len(texts[-1])
+                j += 1
+            part = rest.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
+            i = j
+
+
 def _removed(df: DataFrame, size: int, seed: int) -> DataFrame:
     kinds = dict(df.dtypes)
     spec = f"_no boolean, _id {kinds['_id']}, _h long, text string, n_words long, n_removed long, kept string"
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = words_of(*text_buffers(batch.column("text")), NOT_SPACE)
-                at = _repeated(batch, w, w.hashes(), size, seed)
-                again = np.zeros(len(w) + 1, bool)
-                again[at] = True
-                copies = batch.column("_k").to_pylist()
-                for i, places in enumerate(batch.column("_firsts").to_pylist()):
-                    if places:
-                        again[w.first[i] + np.array(places)] = False
-                at = np.flatnonzero(again)
-                mark = np.zeros(len(w) + 1, np.int64)
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + size, -1)
-                gone = np.cumsum(mark)[:-1] > 0
-                n, removed, kept = [], [], []
-                for i in range(batch.num_rows):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    if copies[i] > 1:
-                        gone[a:b] = b - a >= size
-                    left = np.flatnonzero(~gone[a:b]) + a
-                    n.append(b - a)
-                    removed.append(b - a - len(left))
-                    kept.append(b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[left], w.ends[left], strict=True)).decode())
-                cols = [batch.column(c) for c in ("_no", "_id", "_h", "text")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*("_no", "_id", "_h", "text"), "n_words", "n_removed", "kept"])
+        for batch in _unpacked(batches):
+            w = words_of(*text_buffers(batch.column("text")), NOT_SPACE)
+            again = np.zeros(len(w) + 1, bool)
+            again[_repeated(batch, w, w.hashes(), size, seed)] = True
+            copies = batch.column("_k").to_pylist()
+            lists = batch.column("_firsts")
+            n_firsts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            again[np.repeat(w.first[:-1], n_firsts) + lists.flatten().to_numpy(zero_copy_only=False)] = False
+            at = np.flatnonzero(again)
+            mark = np.zeros(len(w) + 1, np.int64)
+            mark[at] += 1
+            mark[at + size] -= 1
+            gone = np.cumsum(mark)[:-1] > 0
+            n, removed, kept = [], [], []
+            for i in range(batch.num_rows):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                if copies[i] > 1:
+                    gone[a:b] = b - a >= size
+                left = np.flatnonzero(~gone[a:b]) + a
+                n.append(b - a)
+                removed.append(b - a - len(left))
+                kept.append(b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[left], w.ends[left], strict=True)).decode())
+            cols = [batch.column(c) for c in ("_no", "_id", "_h", "text")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*("_no", "_id", "_h", "text"), "n_words", "n_removed", "kept"])
 
     return df.mapInArrow(scan, spec)
 

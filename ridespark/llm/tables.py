@@ -31,3 +31,10 @@ def unused(name: str, taken: Iterable[str]) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """An output column may not take the name of one that is there."""
+    taken = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"the table has the columns {clash}; choose other names")

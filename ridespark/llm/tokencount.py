@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import refuse
 from .words import slices
 
 SYMBOLS = 257
@@ -137,6 +138,7 @@ def counted(docs: DataFrame, vocabulary: str, *, text: str = "text", words_out:
 
     A null text has none. `vocabulary` is the path of a `tokenizers` file, read on the driver.
     """
+    refuse(docs, words_out, tokens_out)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.of(entries(vocabulary)))  # some bytes per entry
     schema = docs.withColumn(words_out, F.lit(0).cast("long")).withColumn(tokens_out, F.lit(0).cast("long")).schema
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .tables import new_path, unused, written
+from .tables import new_path, refuse, written
 from .words import ragged, slices
 
 END_ID = 2
@@ -194,6 +194,7 @@ def tokenize(
     """`docs` with a binary column `out`: the ids of the whole text and the end id, as little-endian
     unsigned 32-bit integers. A null text has the end id only.
     """
+    refuse(docs, out)
     schema = docs.withColumn(out, F.lit(b"")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .language import fold
-from .tables import written
+from .tables import refuse, written
 from .words import slices
 
 SAMPLE = 15_000
 LEXICON = 5_000
 SUPPORT = 5
 LEAST_WEIGHT = 3.0
+#: What an entry needs before its harmless phrases are known, and how many of those are kept.
+FIRST_WEIGHT = 0.0
+PHRASES = 50_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 _SLICE = 1 << 20
 
@@ -73,17 +76,18 @@ class Model:
 
             self._automaton = ahocorasick.Automaton()
             for term, w in self.weights.items():
-                self._automaton.add_word(term, (len(term), w))
+                self._automaton.add_word(term, (term, w))
             self._automaton.make_automaton()
         return self._automaton
 
-    def found(self, text: str) -> dict[int, float]:
-        """Place of every word with an entry (of the space before it), and the greatest weight there."""
-        at: dict[int, float] = {}
+    def found(self, text: str) -> dict[int, list[tuple[str, float]]]:
+        """Entries at every word (by the place of the space before it) that no exception covers."""
+        at: dict[int, list[tuple[str, float]]] = {}
         if self.weights:
-            for end, (n, w) in self.automaton().iter(text):
-                start = end - n + 1
-                at[start] = max(w, at.get(start, w))
+            for end, (term, w) in self.automaton().iter(text):
+                at.setdefault(end - len(term) + 1, []).append((term, w))
+            if self.exceptions:
+                at = {i: x for i, x in at.items() if not self.exceptions.intersection(self.phrases(text, i))}
         return at
 
     def phrases(self, text: str, start: int) -> list[str]:
@@ -95,7 +99,7 @@ class Model:
 
     def features(self, text: str | None) -> list[float]:
         text = folded(text)
-        total = sum(w for at, w in self.found(text).items() if not self.exceptions or not self.exceptions.intersection(self.phrases(text, at)))
+        total = sum(max(w for _, w in x) for x in self.found(text).values())
         n = text.count(" ") - 1
         return [1.0, math.log1p(total), total / math.sqrt(n + 1), total / (n + 10)]
 
@@ -140,22 +144,27 @@ def learn(sample: DataFrame, *, lexicon: int = LEXICON, support: int = SUPPORT,
     if not n.get(1) or not n.get(0):
         return Model()
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("harmless") + 0.5) / (n[0] + 1))
-    best = _counted(sample, _terms).where(F.col("toxic") >= support).withColumn("weight", F.round(weight, 6)).where(F.col("weight") >= least_weight)
-    rows = best.orderBy(F.desc(F.col("weight") * F.log("toxic")), "term").limit(lexicon).collect()
-    all_ = {r["term"]: r["weight"] for r in rows}
-    # an entry is needless if a beginning of it says about as much
-    weights = {t: w for t, w in all_.items() if not any(all_.get(t[:k], -1.0) >= w - 0.7 for k in range(2, len(t)))}
-    model = Model(weights)
+    weight = F.round(weight, 6)
+
+    def best(terms, least: float) -> dict[str, float]:
+        rows = _counted(sample, terms).where(F.col("toxic") >= support).withColumn("weight", weight).where(F.col("weight") >= least)
+        return {r["term"]: r["weight"] for r in rows.orderBy(F.desc(F.col("weight") * F.log("toxic")), "term").limit(lexicon).collect()}
 
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    share = sample.sparkSession.sparkContext.broadcast
+    first = share(Model(best(_terms, FIRST_WEIGHT)))
 
     def phrases(text: str | None) -> set[str]:
         text = folded(text)
-        return {p for at in shared.value.found(text) for p in shared.value.phrases(text, at)}
+        return {p for at in first.value.found(text) for p in first.value.phrases(text, at)}
 
-    harmless = _counted(sample, phrases).where((F.col("harmless") >= support) & (weight < 0)).orderBy(F.desc("harmless"), "term").limit(lexicon)
-    model = Model(weights, {r["term"] for r in harmless.collect()})
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    harmless = _counted(sample, phrases).where((F.col("harmless") >= support) & (weight < 0)).orderBy(F.desc("harmless"), "term").limit(PHRASES)
+    second = share(Model(first.value.weights, {r["term"] for r in harmless.collect()}))
+    # entries again, where they stand outside those phrases
+    all_ = best(lambda text: {t for x in second.value.found(folded(text)).values() for t, _ in x}, least_weight)
+    # an entry is needless if a beginning of it says about as much
+    weights = {t: w for t, w in all_.items() if not any(all_.get(t[:k], -1.0) >= w - 0.7 for k in range(2, len(t)))}
+    model = Model(weights, second.value.exceptions)
+    shared = share(model)
 
     def measure(batches):
         for batch in batches:
@@ -190,6 +199,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 5
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the probability of the label 1; a null text is an empty one."""
+    refuse(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon, bounded by its parameter
     schema = docs.withColumn(out, F.lit(0.0)).schema
 
