@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.times import whole_second
 from ..plans.intervals import overlap_pairs
 from ..plans.ordered import CHUNK, HALO, halo_by_distance, halo_one_row
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, join_on
 from ..schemas import DELTA_SOURCES, GRADES, GRID, SAMPLE_COLUMNS
 from .labels import window_purity
 from .signals import is_finite
@@ -300,7 +300,7 @@ def audit_sequences(
     step = 1 / rate
     m = F.col("_m")[0]
     far = lambda a, b, tol: F.abs(a - b) > tol + 1e-3 * F.abs(b)
-    per_key = per_key.join(median, keys, "left").withColumns(
+    per_key = join_on(per_key, median, keys, "left").withColumns(
         {
             "too_few_samples": (F.col("_n") < 2).cast("long"),
             "step_off_nominal": F.coalesce(far(m, F.lit(step), 1e-4), F.lit(False)).cast("long"),

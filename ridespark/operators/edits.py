@@ -37,24 +37,33 @@ class EditSettings:
 
 
 def samples_of_requests(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5, bucket: float = 60.0) -> DataFrame:
-    """The stored samples of each optional request, numbered from its start.
+    """The stored samples of each optional request, numbered from the first one inside it.
 
-    A request is served from stored samples when it starts on their lattice; others get
-    no rows here (see `off_lattice`). Requests are spread over time buckets.
+    A request may start anywhere, also off the lattice of its video's samples; its own grid
+    then starts at its first sample. Requests are spread over time buckets.
     """
     asked = clips.where(~F.col("mandatory")).select(*REQUEST, "start_s", "end_s")
     at = lambda x: F.floor(x / bucket).cast("long")
     spread = asked.withColumn("_b", F.explode(F.sequence(at(F.col("start_s")), at(F.col("end_s")))))
     rows = samples.select("video_id", "t", *[c for c in SAMPLE_COLUMNS if c in samples.columns]).withColumn("_b", at(F.col("t")))
-    n = (F.col("t") - F.col("start_s")) / dt
+    inside = spread.join(rows, ["video_id", "_b"]).where(
+        (F.col("t") > F.col("start_s") + 1e-6) & (F.col("t") < F.col("end_s") - 1e-6)
+    )
+    first = inside.groupBy(*REQUEST).agg(F.min("t").alias("_first"))
+    n = (F.col("t") - F.col("_first")) / dt
     return (
-        spread.join(rows, ["video_id", "_b"])
-        .where((F.col("t") > F.col("start_s") + 1e-6) & (F.col("t") < F.col("end_s") - 1e-6) & (F.abs(n - F.round(n)) <= 1e-6))
-        .withColumn("sample_idx", (F.round(n) - 1).cast("int"))
-        .drop("_b", "start_s", "end_s")
+        inside.join(first, list(REQUEST))
+        .where(F.abs(n - F.round(n)) <= 1e-6)
+        .withColumn("sample_idx", F.round(n).cast("int"))
+        .drop("_b", "start_s", "end_s", "_first")
     )
 
 
+def unserved(clips: DataFrame, scored: DataFrame) -> DataFrame:
+    """Optional requests from which no window was scored."""
+    return clips.where(~F.col("mandatory")).join(scored.select(*REQUEST).distinct(), list(REQUEST), "left_anti")
+
+
 def off_lattice(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5) -> DataFrame:
     """Optional requests that do not start on the sample lattice of their video."""
     phase = samples.groupBy("video_id").agg(F.min("t").alias("_t0"))
@@ -90,10 +99,13 @@ def score_requests(
             bucket=settings.stride,
             ids=("edit_id", "annotation_order", "window_index"),
         )
-        stats = append_window_value(stats, rms, "pitch_rate_rms", keys=REQUEST).where(F.col("pitch_rate_rms").isNotNull())
+        stats = append_window_value(stats, rms, "pitch_rate_rms", keys=REQUEST)
         names.append("pitch_rate_rms")
     stats = freeze(stats)  # read for the statistics and for the scaling
-    return score(zscore(stats, names, keys=REQUEST)).select(*REQUEST, "window_index", "start_s", "end_s", "score")
+    scaled = zscore(stats, names, keys=REQUEST)  # over all windows, those without telemetry included
+    if pitch is not None:
+        scaled = scaled.where(F.col("pitch_rate_rms").isNotNull())
+    return score(scaled).select(*REQUEST, "window_index", "start_s", "end_s", "score")
 
 
 def candidates_of(scored: DataFrame, clips: DataFrame, videos: DataFrame, settings: EditSettings = EditSettings()) -> DataFrame:

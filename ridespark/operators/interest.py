@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scaling import sigmoid_gate, unit_scale
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, join_on
 from ..session import freeze
 from .signals import engineered_signals
 from .smoothing import rolling_median, time_derivative
@@ -67,7 +67,7 @@ def interest_channels(
         smooth, keys, {f"_q_{n}": c for n, c in source.items()} | {"_q_motion": motion}, [0.05, 0.2, 0.7, 0.95]
     )
     spread = smooth.groupBy(*keys).agg(F.stddev_pop(motion).alias("_std_motion"))
-    rows = smooth.join(cuts.join(spread, keys), keys)
+    rows = join_on(smooth, join_on(cuts, spread, keys), keys)
     for n, c in source.items():
         rows = rows.withColumn(n, unit_scale(c, F.col(f"_q_{n}")[0], F.col(f"_q_{n}")[3]))
     low = F.lit(float(gate_low)) if gate_low is not None else F.col("_q_motion")[1]
@@ -84,4 +84,4 @@ def interest_channels(
     )
     bounds = exact_quantiles(rows, keys, {"_q_final": F.col("_combined")}, [0.05, 0.95])
     final = unit_scale(F.col("_combined"), F.col("_q_final")[0], F.col("_q_final")[1])
-    return rows.join(bounds, keys).withColumn("score_final", final).select(*keys, "sample_idx", "t", *CHANNELS)
+    return join_on(rows, bounds, keys).withColumn("score_final", final).select(*keys, "sample_idx", "t", *CHANNELS)

@@ -50,6 +50,19 @@ def feature_windows(
     return append_window_value(stats, rms.withColumn("pitch_rate_rms", F.col("pitch_rate_rms").cast("float")), "pitch_rate_rms")
 
 
+def without_telemetry(windows: DataFrame) -> DataFrame:
+    """The windows that no telemetry sample falls into."""
+    return windows.where(F.col("pitch_rate_rms").isNull())
+
+
+def _with_telemetry(windows: DataFrame, strict: bool) -> DataFrame:
+    if not strict:
+        return windows.where(F.col("pitch_rate_rms").isNotNull())
+    kind = windows.schema["pitch_rate_rms"].dataType
+    missing = F.raise_error(F.lit("a window has no telemetry")).cast(kind)
+    return windows.withColumn("pitch_rate_rms", F.coalesce("pitch_rate_rms", missing))
+
+
 def training_table(
     samples: DataFrame,
     pitch: DataFrame,
@@ -61,15 +74,17 @@ def training_table(
     dt: float = 0.5,
     offset: float = 0.0,
     names: Sequence[str] = FEATURE_COLUMNS,
+    strict: bool = False,
 ) -> DataFrame:
     """Features, normalized over all windows of a video, then labelled. Written once.
 
-    The order matters: scoring has no labels, so its normalization sees all windows too.
-    Windows without telemetry are left out before normalizing.
+    The order matters: scoring has no labels, so its normalization sees all windows too,
+    those without telemetry included. Such windows then fail the job if `strict`; else they are
+    left out of the table, and `without_telemetry` lists them.
     """
     rows = feature_windows(samples, pitch, window=window, stride=stride, dt=dt, offset=offset)
-    rows = freeze(rows.where(F.col("pitch_rate_rms").isNotNull()))  # read for the statistics, the scaling and the labels
-    scaled = zscore(rows, list(names))
+    rows = freeze(rows)  # read for the statistics, the scaling and the labels
+    scaled = _with_telemetry(zscore(rows, list(names)), strict)
     labelled = label_windows(scaled, annotations)
     return freeze(labelled.join(manifest.select("video_id", "group_id"), "video_id"))
 
@@ -351,14 +366,15 @@ def train_ranker(
 
 # -- search over settings ---------------------------------------------------
 
-# fixed values: the default search space
+# ranges for Spark's boosted trees: shallow to middling, from the slow rates that need many
+# iterations to the fast ones that few allow, with and without sampling of rows and features
 SEARCH_SPACE = {
-    "learning_rate": {"low": 0.01, "high": 0.1, "log": True},
-    "max_depth": {"choices": [3, 4, 5, 6]},
-    "min_rows_per_leaf": {"choices": [10, 20, 50, 100]},
-    "feature_fraction": {"low": 0.6, "high": 1.0},
-    "row_fraction": {"low": 0.6, "high": 1.0},
-    "min_split_gain": {"low": 0.0, "high": 0.2},
+    "learning_rate": {"low": 0.02, "high": 0.3, "log": True},
+    "max_depth": {"low": 2, "high": 7},
+    "min_rows_per_leaf": {"choices": [1, 5, 25, 125]},
+    "feature_fraction": {"choices": [0.25, 0.5, 1.0]},
+    "row_fraction": {"low": 0.5, "high": 1.0, "step": 0.125},
+    "min_split_gain": {"choices": [0.0, 0.001, 0.01]},
 }
 _WHOLE = {"iterations", "max_depth", "min_rows_per_leaf", "seed"}
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scaling import unit_scale
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, join_on
 
 FLAT = 1e-8
 
@@ -46,7 +46,7 @@ def robust_scale(
     bounds = exact_quantiles(
         with_values, keys, {f"_q_{n}": F.col(f"_v_{n}") for n in columns}, [low / 100, high / 100]
     )
-    out = with_values.join(bounds, list(keys))
+    out = join_on(with_values, bounds, list(keys))
     for n in columns:
         q = F.col(f"_q_{n}")
         out = out.withColumn(n, unit_scale(F.col(f"_v_{n}"), q[0], q[1]))

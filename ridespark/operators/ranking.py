@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ordered import ordinal
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, join_on
 
 KEYS = ("video_id",)
 
@@ -37,7 +37,7 @@ def score_summary(scores: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame
         best.alias("_best"),
     )
     median = exact_quantiles(scores, keys, {"score_median": F.col("score")}, [0.5])
-    return plain.join(median, list(keys)).select(
+    return join_on(plain, median, list(keys)).select(
         *keys,
         "window_count",
         "score_min",

@@ -53,16 +53,29 @@ def mandatory_clips(clips: DataFrame) -> DataFrame:
 
 
 def pad_and_clamp(
-    segments: DataFrame, videos: DataFrame, *, min_clip: float = 3.0, padding: float = 2.0, keys: Sequence[str] = ("video_id",)
+    segments: DataFrame,
+    videos: DataFrame,
+    *,
+    min_clip: float = 3.0,
+    padding: float = 2.0,
+    keys: Sequence[str] = ("video_id",),
+    strict: bool = True,
 ) -> DataFrame:
     """Drop segments shorter than `min_clip`, widen the rest, and keep them inside the video.
 
-    `core_start` and `core_end` keep the segment before padding.
+    `core_start` and `core_end` keep the segment before padding. A segment of a video without
+    a known length fails the job, or with `strict=False` is left out (see `unprobed`).
     """
     kept = segments.where(F.col("duration") + SLACK >= min_clip)
     lengths = videos.select(*keys, F.col("duration").alias("_length"))
+    known = kept.join(lengths, list(keys), "left" if strict else "inner")
+    if strict:
+        unknown = F.raise_error(F.lit("a segment's video has no known length")).cast("double")
+        known = known.withColumn("_length", F.coalesce("_length", unknown))
+    else:
+        known = known.where(F.col("_length").isNotNull())
     return (
-        kept.join(lengths, list(keys))
+        known
         .withColumns({"core_start": F.col("start_s"), "core_end": F.col("end_s")})
         .withColumns(
             {
@@ -75,6 +88,11 @@ def pad_and_clamp(
     )
 
 
+def unprobed(segments: DataFrame, videos: DataFrame, *, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Segments of videos without a known length."""
+    return segments.join(videos.where(F.col("duration").isNotNull()).select(*keys), list(keys), "left_anti")
+
+
 def first_request(segments: DataFrame, clips: DataFrame, *, keys: Sequence[str] = (EDIT, "video_id"), width: float = 60.0) -> DataFrame:
     """Add the smallest line number among the requested ranges a segment overlaps; else null."""
     keys = list(keys)
@@ -154,7 +172,7 @@ def select_greedy(
     budgets: DataFrame | None = None,
     min_clip: float = 3.0,
     max_clip: float = 0.0,
-    batch: int = 2000,
+    batch: int = 1000,
     width: float = 60.0,
 ) -> DataFrame:
     """Keep candidates best first: none that overlaps a mandatory or a kept clip, none

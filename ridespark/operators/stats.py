@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.ordered import ordinal, running
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, join_on
 from .signals import is_finite
 
 NEAR_ZERO = 1e-8
@@ -141,7 +141,7 @@ def column_profile(
     df = df.withColumn("_all", F.lit(1))
     on = keys or ["_all"]
     cuts = exact_quantiles(df, on, {f"_q_{n}": c for n, c in x.items()}, [0.01, 0.5, 0.99])
-    wide = df.groupBy(*on).agg(*aggs).join(cuts, on)
+    wide = join_on(df.groupBy(*on).agg(*aggs), cuts, on)
     rows = F.explode(
         F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_s_{n}").alias("s"), F.col(f"_q_{n}").alias("q")) for n in names])
     )

@@ -59,14 +59,13 @@ def live_delta(stream: DataFrame, value: str, *, key_type: str = "long", keep_ho
             state.remove()
             return
         before = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("t", kind="stable")
-            x = pdf[value].astype(float)
-            delta = x.diff()
-            delta.iloc[0] = 0.0 if before is None else x.iloc[0] - before
-            before = float(x.iloc[-1])
-            yield pd.DataFrame({"video_id": key[0], "t": pdf["t"], "delta": delta})
-        state.update((before,))
+        # a video's rows of one micro-batch come in Arrow batches that are not in time order
+        pdf = pd.concat(list(batches)).sort_values("t", kind="stable")
+        x = pdf[value].astype(float)
+        delta = x.diff()
+        delta.iloc[0] = 0.0 if before is None else x.iloc[0] - before
+        yield pd.DataFrame({"video_id": key[0], "t": pdf["t"], "delta": delta})
+        state.update((float(x.iloc[-1]),))
         if keep_hours is not None:
             state.setTimeoutDuration(keep_hours * 3600 * 1000)
 

@@ -1022,9 +1022,9 @@ def _request_lines(spark, folder):
     at = lambda x: F.format_string("%.3f", x)
     star = F.when(F.col("mandatory"), " *").otherwise("")
     line_no = F.col("annotation_order") * 2
-    head = c.select(file.alias("file"), line_no.cast("int").alias("line_no"), video.alias("line"))
+    head = c.select(file.alias("file"), line_no.cast("long").alias("line_no"), video.alias("line"))
     body = c.select(
-        file.alias("file"), (line_no + 1).cast("int").alias("line_no"),
+        file.alias("file"), (line_no + 1).cast("long").alias("line_no"),
         F.concat(at(F.col("start_s")), F.lit(" "), at(F.col("end_s")), star).alias("line"),
     )
     return freeze(head.unionByName(body))

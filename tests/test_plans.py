@@ -62,23 +62,39 @@ def test_ordinal_matches_row_number(points, rows):
 
 
 @pytest.mark.parametrize("kind", ["smooth", "tied", "outlier"])
-def test_large_groups_give_exact_quantiles(spark, kind):
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_quantiles_are_exact(spark, kind, accuracy):
     rng = np.random.default_rng(3)
     x = {
         "smooth": rng.normal(size=5000),
         "tied": rng.integers(0, 3, 5000).astype(float),
         "outlier": np.append(np.zeros(4999), 1e9),
     }[kind]
-    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)], "k int, x double")
-    probs = [0.01, 0.5, 0.9, 1.0]
-    big = quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, probs, limit=10, accuracy=100)
-    upper = quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, [0.5], limit=10, accuracy=100, upper=True)
-    small = quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, [0.5], upper=True)
-    for r in big.collect():
-        assert np.allclose(r.q, np.percentile(x[r.k :: 2], [100 * p for p in probs]))
-    for r in [*upper.collect(), *small.collect()]:
-        own = np.sort(x[r.k :: 2])
-        assert r.q[0] == own[len(own) // 2]
+    df = spark.createDataFrame([(i % 2 if i < 4980 else 2, float(v)) for i, v in enumerate(x)], "k int, x double")
+    groups = {0: x[:4980:2], 1: x[1:4980:2], 2: x[4980:]}
+    probs = [0.01, 0.05, 0.5, 0.9, 1.0]
+    for r in quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, probs, accuracy=accuracy).collect():
+        assert np.allclose(r.q, np.percentile(groups[r.k], [100 * p for p in probs]))
+    for bounded in (False, True):
+        for r in quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, [0.5], upper=True, accuracy=accuracy, bounded=bounded).collect():
+            own = np.sort(groups[r.k])
+            assert r.q[0] == own[len(own) // 2]
+
+
+def test_quantiles_of_odd_groups_equal_percentile(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("a", None), ("a", None), (None, 1.0), (None, 2.0), ("n", nan), ("n", 1.0), ("n", 3.0), ("n", nan), ("i", inf), ("i", nan), ("i", 0.0), ("i", -inf), ("o", 5.0)]
+    df = spark.createDataFrame(data, "k string, x double")
+    ask = lambda **o: {r.k: str(r.q) for r in quantiles.exact_quantiles(df, ["k"], {"q": F.col("x")}, [0.0, 0.5, 0.9, 1.0], **o).collect()}
+    assert ask() == ask(bounded=True) and set(ask()) == {"a", None, "n", "i", "o"}
+    whole = [str(quantiles.exact_quantiles(df, [], {"q": F.col("x")}, [0.25, 0.5], bounded=b).collect()) for b in (True, False)]
+    assert whole[0] == whole[1]
+
+
+def test_building_a_quantile_plan_runs_no_job(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    quantiles.exact_quantiles(spark.range(10), [], {"q": F.col("id")}, [0.5])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
 
 
 @pytest.mark.parametrize("width", [1.0, 7.0, 1000.0])
