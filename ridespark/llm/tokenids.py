@@ -81,31 +81,38 @@ class Memo:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.used = np.empty(0, np.int32)
+
+    def shrink(self) -> None:
+        """Forgets the words that one slice only has had."""
+        words = [w for w, n in self.number.items() if self.used[n] > 1]
+        if len(words) > CACHED_WORDS // 2:
+            return self.clear()
+        at = np.fromiter((self.number[w] for w in words), np.int64, len(words))
+        ids, lengths, used = self.ids[ragged(self.starts[at], self.lengths[at])], self.lengths[at], self.used[at]
+        self.clear()
+        self._append(ids, lengths)
+        self.used = used
+        self.number = {w: i for i, w in enumerate(words)}
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words without special tokens are encoded together, with one between them."""
-        if not words:
-            return []
-        if not self.special:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        mark = self.special[0]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. Words without special tokens are encoded together, with one between them."""
+        mark = self.special[0] if self.special else None
         all_ = "\n".join(words)
-        odd = {w for w in words if any(s in w for s in self.special)} if any(s in all_ for s in self.special) else set()
-        plain = [w for w in words if w not in odd] if odd else words
-        joined = [mark.join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
-        code = self.tokenizer.token_to_id(mark)
-        found = []
+        if mark is None or any(s in all_ for s in self.special):
+            found = [e.ids for i in range(0, len(words), 5_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 5_000], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        joined = [mark.join(words[i : i + 50]) for i in range(0, len(words), 50)]
+        code, parts = self.tokenizer.token_to_id(mark), []
         for i in range(0, len(joined), 200):
-            for j, e in enumerate(self.tokenizer.encode_batch_fast(joined[i : i + 200], add_special_tokens=False), i):
-                ids = e.ids
-                at = [-1, *(k for k, x in enumerate(ids) if x == code), len(ids)]
-                if len(at) != len(plain[50 * j : 50 * j + 50]) + 1:
-                    raise ValueError("the special token does not part words")
-                found += [ids[a + 1 : b] for a, b in itertools.pairwise(at)]
-        if not odd:
-            return found
-        known = dict(zip(plain, found, strict=True))
-        return [known[w] if w in known else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            for e in self.tokenizer.encode_batch_fast(joined[i : i + 200], add_special_tokens=False):
+                parts += [e.ids, (code,)]
+        ids = np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
+        ends = np.flatnonzero(ids == code)
+        if len(ends) != len(words):
+            raise ValueError("the special token does not part words")
+        return ids[ids != code], np.diff(ends, prepend=-1) - 1
 
     def add(self, words: list[str]) -> None:
         """Encodes new words. Letters and the signs that end a word are separate to the tokenizer, and so is case."""
@@ -121,7 +128,7 @@ class Memo:
                 ends.append("")
         new = [w for w in dict.fromkeys(itertools.chain(cores, ends)) if w not in number]
         first = len(self.lengths)
-        self._store(self.encode(new))
+        self._append(*self.encode(new))
         number.update(zip(new, range(first, first + len(new)), strict=True))
         # a word with an ending sign, from the ids of both; any other is its core
         pairs = [(w, a, b) for w, a, b in zip(words, cores, ends, strict=True) if b]
@@ -133,13 +140,10 @@ class Memo:
             self._append(ids, self.lengths[at].sum(axis=1))
             number.update((w, first + i) for i, (w, _, _) in enumerate(pairs))
 
-    def _store(self, pieces: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self._append(np.fromiter(itertools.chain.from_iterable(pieces), np.uint32, int(lengths.sum())), lengths)
-
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
+        self.used = np.concatenate((self.used, np.zeros(len(lengths), np.int32)))
         self.ids = np.concatenate((self.ids, ids))
 
 
@@ -175,12 +179,14 @@ def ids_of_texts(texts: pa.Array, definition: str, by_word: bool) -> tuple[np.nd
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     if len(memo.number) > CACHED_WORDS:
-        memo.clear()
+        memo.shrink()
     number = memo.number
     missing = [w for w in words if w not in number]
     if missing:
         memo.add(missing)
-    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+    at = np.fromiter(map(memo.number.__getitem__, words), np.int64, len(words))
+    memo.used[at] += 1
+    at = at[coded.indices.to_numpy(zero_copy_only=False)]
     lengths = memo.lengths[at]
     ids = memo.ids[ragged(memo.starts[at], lengths)]
     sums = np.concatenate(([0], np.cumsum(lengths)))
@@ -189,10 +195,10 @@ def ids_of_texts(texts: pa.Array, definition: str, by_word: bool) -> tuple[np.nd
 
 
 def tokenize(
-    docs: DataFrame, definition: str, *, end_id: int = END_ID, text: str = "text", out: str = "ids", by_word: bool = True
+    docs: DataFrame, definition: str, *, end_id: int = END_ID, text: str = "text", out: str = "ids", by_word: bool = True, kind: str = "<u4"
 ) -> DataFrame:
-    """`docs` with a binary column `out`: the ids of the whole text and the end id, as little-endian
-    unsigned 32-bit integers. A null text has the end id only.
+    """`docs` with a binary column `out`: the ids of the whole text and the end id, as integers of `kind`.
+    A null text has the end id only.
     """
     refuse(docs, out)
     schema = docs.withColumn(out, F.lit(b"")).schema
@@ -202,7 +208,7 @@ def tokenize(
             for batch in slices(whole, text, SLICE_TEXT):
                 ids, counts = ids_of_texts(batch.column(text), definition, by_word)
                 end = np.cumsum(counts)
-                ids = np.insert(ids, end, end_id).astype("<u4")
+                ids = np.insert(ids, end, end_id).astype(kind)
                 at = np.concatenate(([0], end + np.arange(1, len(counts) + 1)))
                 rows = [ids[at[i] : at[i + 1]].tobytes() for i in range(len(counts))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, out])
@@ -210,21 +216,30 @@ def tokenize(
     return docs.mapInArrow(run, schema)
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def kind_of(definition: str, end_id: int = END_ID) -> str:
+    """The narrowest integers that hold all ids of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values())
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column, and how many each row has."""
     _, at, data = column.cast(pa.large_binary()).buffers()
     at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    return whole.view("<u4") if whole.ctypes.data % 4 == 0 else whole.copy().view("<u4"), np.diff(at) // 4
+    width = np.dtype(kind).itemsize
+    return (whole if whole.ctypes.data % width == 0 else whole.copy()).view(kind), np.diff(at) // width
 
 
-def frequencies(tokens: DataFrame, ids: str = "ids") -> DataFrame:
+def frequencies(tokens: DataFrame, ids: str = "ids", kind: str = "<u4") -> DataFrame:
     """id, n: how often each id occurs. A task sends at most one row per id."""
 
     def count(batches):
         seen = np.zeros(1, np.int64)
         for batch in batches:
-            some = np.bincount(_ids(batch.column(0))[0], minlength=len(seen))
+            some = np.bincount(_ids(batch.column(0), kind)[0], minlength=len(seen))
             some[: len(seen)] += seen
             seen = some
         at = np.flatnonzero(seen)
@@ -244,28 +259,21 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_
     """
     spark = docs.sparkSession
     definition = Path(vocabulary).read_text(encoding="utf-8")
-    tokens = tokenize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), definition, end_id=end_id, by_word=by_word)
+    narrow = kind_of(definition, end_id)
+    tokens = tokenize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), definition, end_id=end_id, by_word=by_word, kind=narrow)
     tokens = written(tokens.select("key", "ids"), "token-ids")
     # as many rows as the vocabulary has ids
-    order = [r["id"] for r in frequencies(tokens).orderBy(F.desc("n"), "id").collect()]
+    order = [r["id"] for r in frequencies(tokens, kind=narrow).orderBy(F.desc("n"), "id").collect()]
     ranks = spark.createDataFrame(list(enumerate(order)), "rank int, id int")
     ranks.coalesce(1).write.parquet(f"{path}/ranks.parquet")
     rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
     rank_of[np.array(order, np.int64)] = np.arange(len(order))
     table = spark.sparkContext.broadcast(rank_of)
 
-    def code(batches):
-        rank = table.value
-        for batch in batches:
-            ids, counts = _ids(batch.column("ids"))
-            coded = encode(rank[ids], counts)
-            cols = [pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.binary()), pa.array(counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *cols], names=["key", "control", "data", "n"])
-
     kind = tokens.schema["key"].dataType.simpleString()
-    coded = tokens.mapInArrow(code, f"key {kind}, control binary, data binary, n long").withColumn("tie", F.xxhash64("control", "data"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = coded.repartitionByRange(parts, F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    laid = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def pack(batches):
         shard, start, block = TaskContext.get().partitionId(), 0, []
@@ -279,9 +287,11 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_
 
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "control", "data", "n")), strict=True):
-                block.append(r)
-                held += r[3]
+            ids, counts = _ids(batch.column("ids"), narrow)
+            coded = encode(table.value[ids], counts)
+            for k, (control, data), n in zip(batch.column("key").to_pylist(), coded, counts.tolist(), strict=True):
+                block.append((k, control, data, n))
+                held += n
                 if held >= BLOCK_IDS:
                     yield row()
                     start, block, held = start + held, [], 0
@@ -292,7 +302,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_
 
     spec = f"shard int, start long, keys array<{kind}>, counts array<long>, n_ids long, control binary, data binary"
     blocks = to_arrow_schema(spark.createDataFrame([], spec).schema)
-    laid.select("key", "control", "data", "n").mapInArrow(pack, spec).write.parquet(f"{path}/blocks.parquet")
+    laid.select("key", "ids").mapInArrow(pack, spec).write.parquet(f"{path}/blocks.parquet")
 
 
 def read_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
