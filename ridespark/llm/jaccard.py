@@ -33,7 +33,7 @@ SHINGLE = 5
 #: The similarity, as a percentage.
 PERCENT = 80
 CELLS = 20
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 BLOCK = 512
 BROADCAST_CLASSES = 300_000
 
@@ -161,7 +161,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         near = edges.join(now.select(F.col("c").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = now.join(near.withColumnRenamed("a", "c"), "c").select("c", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = written(step, name)
         jump = step.select(F.col("c").alias("label"), F.col("label").alias("next"))
         after = written(step.join(jump, "label", "left").select("c", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), name)
         now = after.select("c", "label")
@@ -169,6 +168,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return now
 
 
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` after further links: the components of the labels at the links' ends."""
+    of = lambda end: labels.select(F.col("c").alias(end), F.col("label").alias(f"l{end}"))
+    ends = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    ends = written(ends.select("x", "y", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly")), "label-links")
+    up = components(ends.select(F.col("lx").alias("x"), F.col("ly").alias("y")).where("x <> y").distinct())
+    known = labels.union(ends.select("x", "lx")).union(ends.select("y", "ly")).distinct()
+    above = up.select(F.col("c").alias("label"), F.col("label").alias("up"))
+    return written(known.join(above, "label", "left").select("c", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, block: int = BLOCK) -> DataFrame:
     """Per row of `docs`: KEYS, n (size of its set), and `r_no`, `r_id`, `r_h`: the keys of the least document of its component.
 
@@ -198,24 +208,22 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
         return written(linked(written(pairs.distinct(), name), texts, size, percent), "links")
 
     star = entries.where("c <> x").select("x", F.col("c").alias("y"), "n").join(sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x")
-    links = verified(star.where(_sizes_fit(F.col("n"), F.col("nx"), percent)).select("x", "y"), "star")
+    labels = components(verified(star.where(_sizes_fit(F.col("n"), F.col("nx"), percent)).select("x", "y"), "star"))
     for k in range(1, star_rounds + 1):
-        labels = components(links)
         named = entries.select("gram", "c", "n", "pos").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         named = written(named, "named")
         ends = named.groupBy("gram").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("c", F.lit(k)), "c", "n", "label")).alias("_x"))
-        apart = named.join(ends.where("_lo < _hi").select("gram", "_m", "_x"), "gram")
-        n, nx = F.col("n"), F.col("_x.n")
+        apart = written(named.join(ends.where("_lo < _hi").select("gram", "_m", "_x"), "gram"), "apart")
+        if apart.isEmpty():
+            break
         if k < star_rounds:
-            pairs = apart.where((F.col("label") != F.col("_x.label")) & _sizes_fit(n, nx, percent))
+            pairs = apart.where((F.col("label") != F.col("_x.label")) & _sizes_fit(F.col("n"), F.col("_x.n"), percent))
             pairs = pairs.select(F.least("c", "_x.c").alias("x"), F.greatest("c", "_x.c").alias("y"))
         else:
-            pairs = _all_pairs(written(apart.drop("_x"), "apart"), percent, block)
+            pairs = _all_pairs(apart.drop("_x"), percent, block)
         more = verified(pairs, "pairs")
-        if more.isEmpty() and k < star_rounds and apart.isEmpty():
-            break
-        links = written(links.union(more), "links")
-    labels = components(links)
+        if not more.isEmpty():
+            labels = _joined_labels(labels, more)
     least = classes.select(F.col("c").alias("label"), F.col("_no").alias("r_no"), F.col("_id").alias("r_id"), F.col("_h").alias("r_h"))
     roots = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).join(least, "label").select("s", "n", "r_no", "r_id", "r_h")
     some = sets.where("n > 0").select(*KEYS, "s", "n").join(written(roots, "roots"), ["s", "n"]).drop("s")
