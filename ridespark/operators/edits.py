@@ -135,6 +135,8 @@ class EditPlan:
     candidates: DataFrame
     selected: DataFrame
     timeline: DataFrame
+    #: optional requests too short for a window, or without samples or telemetry
+    unserved: DataFrame
 
 
 def plan_edits(
@@ -163,7 +165,7 @@ def plan_edits(
         timeline = synchronize(
             timeline, events, tracks, edits, mode=settings.sync_mode, max_synced=settings.max_synced_clip
         )
-    return EditPlan(candidates, selected, timeline)
+    return EditPlan(candidates, selected, timeline, unserved(clips, scored))
 
 
 def processing_ranges(clips: DataFrame) -> DataFrame:

@@ -1079,6 +1079,13 @@ add(
     select 'edits/e' || edit_id::varchar || '.txt' as file, 'edits/v' || video_id::varchar || '.mp4' as video, {r('s')} as start_s, {r('e')} as end_s, mandatory,
       (annotation_order * 2 + 1)::int as annotation_order from t where e > s and (mandatory or e - s >= 2.0)""",
 )
+add(
+    "served_requests",
+    ["clips", "samples"],
+    """select edit_id, annotation_order, c.video_id, count(s.t) as n_samples, count(s.t) >= 8 as served
+    from clips c left join samples s on s.video_id = c.video_id and s.t > c.start_s + 1e-6 and s.t < c.end_s - 1e-6
+    where not mandatory group by 1, 2, 3""",
+)
 add(
     "flight_log",
     ["rates"],

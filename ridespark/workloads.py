@@ -1036,6 +1036,18 @@ def request_lists(spark, folder):
     return rounded(clips)
 
 
+@query
+def served_requests(spark, folder):
+    """Every optional request, the samples of its own grid, and whether they fill a window."""
+    asked = A.clips(spark, folder).where(~F.col("mandatory"))
+    own = edits.samples_of_requests(asked, A.samples(spark, folder))
+    counts = own.groupBy(*edits.REQUEST).agg(F.count(F.lit(1)).alias("n_samples"))
+    n = F.coalesce("n_samples", F.lit(0))
+    return asked.join(counts, list(edits.REQUEST), "left").select(
+        *edits.REQUEST, n.cast("long").alias("n_samples"), (n >= WINDOW / DT).alias("served")
+    )
+
+
 def _log_blocks(spark, folder):
     rows = A.rates(spark, folder).select(
         F.concat(F.lit("u"), F.col("video_id").cast("string")).alias("file"),

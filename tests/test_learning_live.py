@@ -192,6 +192,17 @@ def test_live_delta_keeps_state(spark, tmp_path):
     assert got == {(v, t): (0.0 if t == 0 else 2 * t - 1) for v, t, _ in rows}
 
 
+def test_live_delta_beyond_one_arrow_batch(spark, tmp_path):
+    rows = [(1, float(i), float(i * i)) for i in range(60)]
+    stream = stream_of(spark, tmp_path, rows, "video_id long, t double, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.t: r.delta for r in workloads._run_stream(spark, live.live_delta(stream, "x")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {t: (0.0 if t == 0 else 2 * t - 1) for _, t, _ in rows}
+
+
 def test_every_sql_twin_has_a_query():
     from __spark_entry__ import oracle_sql, queries
 

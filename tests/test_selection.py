@@ -236,3 +236,13 @@ def test_plan_edits_end_to_end(spark, folder):
         for s, e in by_video.get((r.edit_id, r.video_id), []):
             assert r.end_s <= s or e <= r.start_s
         by_video.setdefault((r.edit_id, r.video_id), []).append((r.start_s, r.end_s))
+
+
+def test_segments_of_unprobed_videos_are_not_lost_silently(spark):
+    segments = spark.createDataFrame([(1, 0.0, 5.0, 5.0), (2, 0.0, 5.0, 5.0)], "video_id int, start_s double, end_s double, duration double")
+    videos = spark.createDataFrame([(1, 6.0), (3, None)], "video_id int, duration double")
+    with pytest.raises(Exception, match="no known length"):
+        selection.pad_and_clamp(segments, videos).collect()
+    kept = selection.pad_and_clamp(segments, videos, strict=False).collect()
+    assert [(r.video_id, r.end_s) for r in kept] == [(1, 6.0)]
+    assert [r.video_id for r in selection.unprobed(segments, videos).collect()] == [2]
