@@ -4,12 +4,13 @@ The product of the document by shingle matrix with its transpose holds the overl
 documents. Only cells that can reach the similarity are formed:
 
 - Equal sets are one row of the matrix (a class).
-- A set's shingles are ordered by rarity, and only the columns of its prefix are looked at: two sets of
-  similarity t share a shingle of their first n - ceil(t n) + 1. The order comes from a counting
+- A set's shingles are ordered by rarity, and only the columns of its prefix are looked at. Of two sets of
+  similarity t the first k common shingles lie among the first n - ceil(t n) + k of both, so a pair with
+  fewer than k common ones there is discarded; k grows with the size. The order comes from a counting
   sketch of all documents; it affects the amount of work, not the result.
-- Sizes below t times the other's, and places in the prefix too late to reach the overlap, are discarded.
-- Cells are counted exactly in blocks of candidate pairs: rows of a block are multiplied with the
-  marked columns of one set at a time.
+- Sizes below t times the other's are discarded.
+- The other cells are counted exactly in blocks of candidate pairs: rows of a block are multiplied with
+  the marked columns of one set at a time.
 
 A column that thousands of near copies share is not squared. In the first rounds each column links its
 sets with one of them; columns whose sets are by then in one component are done. What is left is
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.ordered import ordinal
 from .keys import KEYS, keyed
@@ -34,6 +35,8 @@ SHINGLE = 5
 PERCENT = 80
 CELLS = 20
 STAR_ROUNDS = 2
+#: One in so many shingles of a set, and one more, must be common in the prefixes.
+COMMON_SHARE = 20
 BLOCK = 512
 BROADCAST_CLASSES = 300_000
 
@@ -96,7 +99,7 @@ def prefixes(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 ids, sizes, firsts = [], [], []
                 for u in sets_of(batch.column("text"), size):
                     n = len(u)
-                    take = n - -(-percent * n // 100) + 1
+                    take = min(n, n - -(-percent * n // 100) + n // COMMON_SHARE + 1)
                     heavy = weight[(u >> np.uint64(64 - CELLS)).astype(np.int64)]
                     light = u[heavy == 0]
                     first = light[:take]
@@ -118,9 +121,9 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _overlap_fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """What is left of both sets from a first common place on can still reach the overlap."""
-    return (F.least(na - pa_, nb - pb) * (100 + percent)) >= (na + nb) * percent
+def _common(a: Column, b: Column) -> Column:
+    """How many common shingles the prefixes of sets of these sizes have at least, if the sets reach the similarity."""
+    return F.floor(F.least(a, b) / COMMON_SHARE) + 1
 
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -189,9 +192,9 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     classes = sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct(*KEYS)).alias("r"))
     classes = written(ordinal(written(classes.select("s", "n", "r.*"), "classes"), [F.col(k) for k in KEYS], name="c"), "classes")
 
-    entries = sets.select("s", "n", F.posexplode("prefix").alias("pos", "gram"))
+    entries = sets.select("s", "n", F.explode("prefix").alias("gram"))
     often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1").select("gram")
-    entries = entries.join(often, "gram").distinct().join(classes.select("s", "n", "c"), ["s", "n"]).select("gram", "c", "n", "pos")
+    entries = entries.join(often, "gram").distinct().join(classes.select("s", "n", "c"), ["s", "n"]).select("gram", "c", "n")
     entries = written(entries, "entries")
     ends = entries.groupBy("gram").agg(F.min("c").alias("x"), F.max("c").alias("_last")).where("x < _last").select("gram", "x")
     entries = written(entries.join(ends, "gram"), "entries")
@@ -208,9 +211,11 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
         return written(linked(written(pairs.distinct(), name), texts, size, percent), "links")
 
     star = entries.where("c <> x").select("x", F.col("c").alias("y"), "n").join(sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x")
-    labels = components(verified(star.where(_sizes_fit(F.col("n"), F.col("nx"), percent)).select("x", "y"), "star"))
+    star = star.where(_sizes_fit(F.col("n"), F.col("nx"), percent)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"), _common(F.min("n"), F.min("nx")).alias("k"))
+    # a common column may have another first set, so part of the count is enough here
+    labels = components(verified(star.where("3 * m >= k").select("x", "y"), "star"))
     for k in range(1, star_rounds + 1):
-        named = entries.select("gram", "c", "n", "pos").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        named = entries.select("gram", "c", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         named = written(named, "named")
         ends = named.groupBy("gram").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("c", F.lit(k)), "c", "n", "label")).alias("_x"))
         apart = written(named.join(ends.where("_lo < _hi").select("gram", "_m", "_x"), "gram"), "apart")
@@ -218,7 +223,7 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
             break
         if k < star_rounds:
             pairs = apart.where((F.col("label") != F.col("_x.label")) & _sizes_fit(F.col("n"), F.col("_x.n"), percent))
-            pairs = pairs.select(F.least("c", "_x.c").alias("x"), F.greatest("c", "_x.c").alias("y"))
+            pairs = pairs.groupBy(F.least("c", "_x.c").alias("x"), F.greatest("c", "_x.c").alias("y")).agg(F.count(F.lit(1)).alias("m"), _common(F.min("n"), F.min("_x.n")).alias("k")).where("3 * m >= k").select("x", "y")
         else:
             pairs = _all_pairs(apart.drop("_x"), percent, block)
         more = verified(pairs, "pairs")
@@ -232,19 +237,18 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
 
 
 def _all_pairs(apart: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of a column's sets that lie in different components and can reach the overlap.
+    """Pairs of sets in different components that share enough columns.
 
     A column of m sets is dealt into m / block blocks; each set goes to one block on the left
     and to every block on the right.
     """
     blocks = F.ceil(F.col("_m") / block).cast("int")
-    left = apart.withColumn("_b", F.pmod(F.xxhash64("c"), blocks).cast("int")).select("gram", "_b", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "pos", "label")])
+    left = apart.withColumn("_b", F.pmod(F.xxhash64("c"), blocks).cast("int")).select("gram", "_b", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "label")])
     right = apart.withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_m")
-    both = left.join(right, ["gram", "_b"]).where(
-        (F.col("l_c") < F.col("c")) & (F.col("l_label") != F.col("label")) & _sizes_fit(F.col("l_n"), F.col("n"), percent)
-        & _overlap_fits(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos"), percent)
-    )
-    return both.select(F.col("l_c").alias("x"), F.col("c").alias("y"))
+    both = left.join(right, ["gram", "_b"]).where((F.col("l_c") < F.col("c")) & (F.col("l_label") != F.col("label")) & _sizes_fit(F.col("l_n"), F.col("n"), percent))
+    # columns of sets in different components are all among these, so the count is whole
+    counted = both.groupBy(F.col("l_c").alias("x"), F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("m"), _common(F.min("l_n"), F.min("n")).alias("k"))
+    return counted.where("m >= k").select("x", "y")
 
 
 def components_of(docs: DataFrame, **options) -> DataFrame:
@@ -257,10 +261,16 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
     """The rows of `docs` that are the least document of their component; of equal rows one."""
     found = joined(docs, key=key, text=text, **options)
     least = (F.col("_no") == F.col("r_no")) & (F.col("_id") == F.col("r_id")) & (F.col("_h") == F.col("r_h"))
-    kept = found.where(least).select(*KEYS).distinct()
+    found = written(found.select(*KEYS, least.alias("least")), "least")
+    gone = found.where(~F.col("least")).select(*KEYS).distinct()
+    again = found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select(*KEYS)
+    several = again.count()
+    if gone.count() + several <= BROADCAST_CLASSES:
+        gone, again = F.broadcast(gone), F.broadcast(again)
     row, value = F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(F.col(key).isNull().alias("_no"), F.coalesce(F.col(key), F.lit(0)).alias("_id"), F.xxhash64(value).alias("_h"), row)
-    from pyspark.sql import Window as W
-
-    one = whole.join(kept, KEYS).withColumn("_k", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.xxhash64(F.to_json("row")))))
-    return one.where("_k = 1").select("row.*")
+    whole = whole.join(gone, KEYS, "left_anti")
+    if not several:
+        return whole.select("row.*")
+    one = whole.join(again, KEYS, "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.xxhash64(F.to_json("row")))))
+    return whole.join(again, KEYS, "left_anti").select("row.*").union(one.where("_k = 1").select("row.*"))
