@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
-_STEP = 1 << 16
+SLICE_BYTES = 1 << 18
+_STEP = 1 << 14
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
