@@ -210,8 +210,9 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         return written(linked(written(pairs.distinct(), name), texts, size, percent), "links")
 
-    star = entries.where("c <> x").select("x", F.col("c").alias("y"), "n").join(sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x")
-    star = star.where(_sizes_fit(F.col("n"), F.col("nx"), percent)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"), _common(F.min("n"), F.min("nx")).alias("k"))
+    star = entries.where("c <> x").groupBy("x", F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
+    star = star.join(sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x").where(_sizes_fit(F.col("n"), F.col("nx"), percent))
+    star = star.withColumn("k", _common(F.col("n"), F.col("nx")))
     # a common column may have another first set, so part of the count is enough here
     labels = components(verified(star.where("3 * m >= k").select("x", "y"), "star"))
     for k in range(1, star_rounds + 1):
