@@ -4,17 +4,18 @@ A document's rate is the tilt exp(lambda) of its source, the rates nearest to on
 entropy over words) that meet every source's target. Newton steps solve the convex dual: at each,
 a job sums the tilted words of every source, and the step is (target - sum) / sum, the gradient
 over the second derivative, at most one. Rates then become copies: every document gets the whole
-part of its rate, and documents get one more in the order of a hash of their id while the words
-still wanted last. A few single documents are then exchanged to close what is left.
-
-Decisions are one row per source: the last document that gets one more, and the exchanged ones.
-So they can be applied to any table with the same rows without a join on documents.
+part of its rate, and the rest of the rate decides how many documents of every size get one more.
+Sizes are gone through from the longest down, and what rounding leaves or exceeds at one size is
+made up at the next, so that the smallest documents close the sum. If that leaves more than going
+down the sizes and giving every document that still fits one more, the latter counts.
+
+Decisions are one row per source and size: the last document, in the order of a hash of the id,
+that gets one more. So they can be applied to any table with the same rows without a join on
+documents.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import freeze
@@ -25,10 +26,11 @@ SHARE = 1.5
 MOST = 2
 STEPS = 60
 CLOSE = 1e-12
-REPAIRS = 3
 BUCKET_ROWS = 50_000
-#: Decisions are broadcast up to this many sources, some 200 bytes each; beyond, Spark joins them.
-BROADCAST_SOURCES = 50_000
+#: Decisions are broadcast up to this many sources and sizes, some 100 bytes each; beyond, Spark joins them.
+BROADCAST_ROWS = 400_000
+#: Beyond every place in the rounding order, and before every one.
+ALL, NONE = 1 << 60, -1
 
 
 def n_words(text: Column) -> Column:
@@ -42,12 +44,12 @@ def _place(doc_id: Column) -> Column:
 
 
 def _rows(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    """key (of the source), source, size, and `at`, the document's place in the rounding order."""
+    """key (of the source), source, doc_id, size, and `at`, the document's place in the rounding order."""
     size = n_words(F.col(text))
     return docs.select(
         F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(source).cast("string"))).alias("key"),
         F.col(source).cast("string").alias("source"), F.col(key).alias("doc_id"), size.alias("size"),
-    ).withColumn("at", F.struct(_place(F.col("doc_id")).alias("u"), F.col("size").alias("s")))
+    ).withColumn("at", _place(F.col("doc_id")))
 
 
 def targets(sources: DataFrame, *, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -88,64 +90,71 @@ def balance(cells: DataFrame, *, mass: str, target: str, group: str, steps: int
     return now
 
 
-def decide(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", repairs: int = REPAIRS, **options) -> tuple[DataFrame, DataFrame]:
-    """(documents, decisions): key, source, doc_id, size, at per document; a row per source."""
+def _shared(sizes: Column, need: Column, share: Column, even: bool) -> Column:
+    """left, more: how many of each of `sizes` (size, n; longest first) get one more, and the words still wanted.
+
+    `even` gives every size its share, rounded, with what is left from the sizes before; otherwise
+    all that fits is given from the longest down.
+    """
+
+    def step(done: Column, x: Column) -> Column:
+        wanted = done["left"] + share * x["n"] * x["size"] if even else done["left"]
+        fits = F.floor(wanted / x["size"] + F.lit(0.5 if even else 0.0))
+        # a document without words changes no sum
+        more = F.when(x["size"] == 0, F.floor(share * x["n"] + 0.5)).otherwise(F.greatest(F.lit(0).cast("long"), F.least(x["n"], fits)))
+        return F.struct((wanted - more * x["size"]).alias("left"), F.array_append(done["more"], more).alias("more"))
+
+    start = F.lit(0.0) if even else need
+    return F.aggregate(sizes, F.struct(start.alias("left"), F.array().cast("array<long>").alias("more")), step)
+
+
+def _last(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
+    """key, size, last: the place up to which `more` of the `n` rows of a source and size lie.
+
+    Rows of one place are not parted; of the two counts around `more` the nearer one is met. Counts
+    run first over buckets of the place, then inside the one in which `more` is reached.
+    """
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET_ROWS))).cast("int")
+    cut = cells.where("0 < more and more < n").select("key", "size", "more", bits.alias("_bits"))
+    part = rows.select("key", "size", "at").join(F.broadcast(cut) if small else cut, ["key", "size"]).withColumn("_b", F.expr("shiftright(at, 60 - _bits)"))
+    buckets = part.groupBy("key", "size", "_b").agg(F.count(F.lit(1)).alias("_w"), F.max("more").alias("more"))
+    before = W.partitionBy("key", "size").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    edge = buckets.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0))).where("_before < more and _before + _w >= more").select("key", "size", "_b", "_before")
+    upto = W.partitionBy("key", "size", "_b").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    walked = part.join(F.broadcast(edge) if small else edge, ["key", "size", "_b"]).withColumn("_n", F.col("_before") + F.count(F.lit(1)).over(upto))
+    # the places before the bucket's first row are one that can be met, too
+    first = walked.groupBy("key", "size").agg((F.min("at") - 1).alias("at"), F.max(F.col("more") - F.col("_before")).alias("_off"))
+    met = walked.select("key", "size", "at", F.abs(F.col("_n") - F.col("more")).alias("_off")).union(first.select("key", "size", "at", "_off"))
+    return met.groupBy("key", "size").agg(F.min_by("at", F.struct("_off", "at")).alias("last"))
+
+
+def decide(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, decisions): key, source, doc_id, size, at per document; a row per source and size."""
     rows = written(_rows(docs, text, key, source), "sizes")
-    sources = written(rows.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    sizes = written(rows.groupBy("key", "size").agg(F.max("source").alias("source"), F.count(F.lit(1)).alias("n")), "counts")
+    sources = written(sizes.groupBy("key").agg(F.max("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
     rated = balance(targets(sources, **options), mass="source_size", target="target", group="key")
     rate = F.coalesce(F.least(F.round(F.exp("tilt"), 9), F.lit(float(options.get("most", MOST)))), F.lit(0.0))
-    rated = rated.withColumn("rate", rate).withColumn("copies", F.floor("rate"))
+    rated = rated.withColumn("copies", F.floor(rate))
     rated = rated.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
-    rated = written(rated, "rates")
-    small = rated.count() <= BROADCAST_SOURCES
-
-    def with_sources(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(right) if small else right, "key")
-
-    # running words in the order of `at`, first by buckets of it, then inside them
-    total = sources.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_ROWS))))
-    part = with_sources(rows, rated.where("need > 0").select("key", "need")).withColumn("_b", F.shiftright(F.col("at.u"), 60 - bits) if bits else F.lit(0).cast("long"))
-    buckets = part.groupBy("key", "_b").agg(F.sum("size").alias("_w"))
-    before = W.partitionBy("key").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = buckets.select("key", "_b", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"), "_w")
-    inside = W.partitionBy("key", "_b").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    # only the bucket in which the words run out is walked; those before it are taken whole
-    edge = carry.join(rated.select("key", "need"), "key").where("_before <= need and _before + _w >= need").groupBy("key").agg(F.max("_b").alias("_b"), F.max_by("_before", "_b").alias("_before"))
-    walked = part.join(edge, ["key", "_b"]).withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = walked.where(F.col("_at") + F.col("size") <= F.col("need")).groupBy("key").agg(F.max("at").alias("last"))
-    lower = edge.select("key", F.struct(F.shiftleft("_b", 60 - bits).alias("u"), F.lit(-1).cast("long").alias("s")).alias("low"))
-    kind = "array<struct<u:long,s:long>>"
-    decisions = rated.join(last, "key", "left").join(lower, "key", "left").withColumn("last", F.coalesce("last", "low")).drop("low")
-    decisions = decisions.withColumn("more", F.array().cast(kind)).withColumn("less", F.array().cast(kind))
-
-    for _ in range(repairs):
-        decisions = written(decisions, "decisions")
-        now = with_sources(rows, decisions.select("key", "target", "copies", "last", "more", "less")).withColumn("_n", _copies())
-        off = now.groupBy("key").agg((F.sum(F.col("_n") * F.col("size")) - F.max("target")).alias("_off"))
-        at, size = F.col("at"), F.col("size")
-        extra = F.col("_n") - F.col("copies")
-        can = (size > 0) & F.when(F.col("_off") > 0, extra > 0).otherwise((extra == 0) & (F.col("copies") < MOST)) & (F.abs(F.abs("_off") - size) < F.abs("_off"))
-        found = with_sources(now, off).where(can).groupBy("key").agg(F.min(F.struct(F.abs(F.abs("_off") - size).alias("left"), at.alias("at"), (F.col("_off") > 0).alias("over"))).alias("_f"))
-        one = decisions.join(found, "key", "left")
-        change = lambda name, mine, other: F.when(mine & ~F.array_contains(other, F.col("_f.at")), F.array_append(name, F.col("_f.at"))).when(~mine, F.array_remove(name, F.col("_f.at"))).otherwise(F.col(name))
-        over = F.col("_f.over")
-        decisions = one.withColumn("_more", F.when(over.isNull(), F.col("more")).otherwise(change("more", ~over, F.col("less")))).withColumn(
-            "less", F.when(over.isNull(), F.col("less")).otherwise(change("less", over, F.col("more")))
-        ).withColumn("more", F.col("_more")).drop("_more", "_f")
-    return rows, written(decisions, "decisions")
-
-
-def _copies() -> Column:
-    """How often a document is taken, from its source's decision."""
-    at = F.col("at")
-    one = (F.coalesce(at <= F.col("last"), F.lit(False)) | F.array_contains("more", at)) & ~F.array_contains("less", at)
-    return F.col("copies") + F.when((F.col("copies") < MOST) & one, 1).otherwise(0)
+    rated = rated.withColumn("share", F.when(F.col("source_size") > 0, F.least(F.lit(1.0), F.col("need") / F.col("source_size"))).otherwise(F.lit(0.0)))
+    rated = written(rated.select("key", "source_size", "target", "copies", "need", "share"), "rates")
+
+    by_size = sizes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    both = rated.join(by_size, "key").select("*", *[_shared(F.col("sizes"), F.col("need"), F.col("share"), even).alias(name) for name, even in (("_even", True), ("_full", False))])
+    best = F.when(F.abs("_even.left") <= F.abs("_full.left"), F.col("_even.more")).otherwise(F.col("_full.more"))
+    each = both.select("key", "source_size", "target", "copies", F.explode(F.arrays_zip(F.col("sizes"), best.alias("more"))).alias("x"))
+    cells = written(each.select("key", "source_size", "target", "copies", "x.sizes.size", "x.sizes.n", "x.more"), "cells")
+    last = _last(rows, cells, cells.count() <= BROADCAST_ROWS)
+    place = F.when(F.col("more") <= 0, F.lit(NONE)).when(F.col("more") >= F.col("n"), F.lit(ALL)).otherwise(F.col("last"))
+    return rows, written(cells.join(last, ["key", "size"], "left").withColumn("last", place.cast("long")).drop("n", "more"), "decisions")
 
 
 def _apply(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    small = decisions.count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(decisions) if small else decisions, "key").withColumn("_n", _copies())
+    """`rows` with their decision, and `_n`, how often a document is taken."""
+    small = decisions.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(decisions) if small else decisions, ["key", "size"])
+    return found.withColumn("_n", F.col("copies") + F.when((F.col("copies") < MOST) & (F.col("at") <= F.col("last")), 1).otherwise(0))
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -155,7 +164,7 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     one id and size share a decision.
     """
     rows, decisions = decide(docs, **options)
-    found = _apply(rows, decisions.select("key", "source_size", "target", "copies", "last", "more", "less"))
+    found = _apply(rows, decisions)
     return found.select("doc_id", "size", "source_size", "target", (F.col("_n") * F.col("size")).alias("taken"))
 
 
@@ -167,7 +176,7 @@ def mixed_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     inner = part.select(F.col(row), *[F.col(f"{row}.{c}").alias(f"_c{i}") for i, c in enumerate((text, key, source))])
     marked = inner.select(
         F.col(row).alias("row"), F.when(F.col("_c2").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("_c2").cast("string"))).alias("key"),
-        F.struct(_place(F.col("_c1")).alias("u"), n_words(F.col("_c0")).alias("s")).alias("at"),
+        n_words(F.col("_c0")).alias("size"), _place(F.col("_c1")).alias("at"),
     )
-    found = _apply(marked, decisions.select("key", "copies", "last", "more", "less"))
+    found = _apply(marked, decisions.select("key", "size", "copies", "last"))
     return found.where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("row.*")

@@ -211,6 +211,23 @@ def test_mix_meets_its_targets(spark):
     assert copies == {r.doc_id: r.taken // r["size"] for r in found if (r.doc_id or 0) >= 1000 and r.taken}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.33, 0.5])
+def test_mix_meets_its_targets_with_a_long_document(spark, share):
+    """Wherever a long document stands in the order, the small ones close what it leaves."""
+    rng = random.Random(13)
+    rows, names = [], [f"s{i:02}" for i in range(24)]
+    for s in names:
+        small = [rng.randrange(20, 60) for _ in range(150)]
+        rows += [(rng.randrange(10**9), "w " * n, None, s) for n in (*small, int(sum(small) * share / (1 - share)))]
+    found = mixing.mixed_sizes(table(spark, rows)).collect()
+    taken, target = dict.fromkeys(names, 0), {}
+    source = {r[0]: r[3] for r in rows}
+    for r in found:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert {s: (taken[s], target[s]) for s in names if abs(taken[s] - target[s]) > 20} == {}
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed_sizes(table(spark, [])).count() == 0
     rows = mixing.mixed_sizes(table(spark, [(1, None, None, "a"), (2, "", None, None)])).collect()
