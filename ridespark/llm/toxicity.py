@@ -7,6 +7,9 @@ that occurs in harmless documents is an exception: that occurrence does not coun
 found, plain and in relation to the text's length, goes through a logistic curve.
 
 Everything is learned from at most SAMPLE documents of each label, the first by a hash of their id.
+In the curve each of them stands for as many labelled documents as its label has for one in the
+sample, so that a score is a probability at the share of the label among all documents, however
+large the table is.
 """
 
 from __future__ import annotations
@@ -105,12 +108,18 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """doc_id, text, toxic of at most `size` documents of each label. Of several labels the greatest counts."""
+    """doc_id, text, toxic, stands_for of at most `size` documents of each label. Of several labels the greatest counts.
+
+    `stands_for` is the number of labelled documents of that label for one of the sample.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pick = known.where("toxic = 1").orderBy(*order).limit(size).union(known.where("toxic = 0").orderBy(*order).limit(size))
-    # at most 2 * size rows of two numbers
-    return written(docs.select("doc_id", "text").join(F.broadcast(written(pick, "label-sample")), "doc_id"), "labelled")
+    pick = written(known.where("toxic = 1").orderBy(*order).limit(size).union(known.where("toxic = 0").orderBy(*order).limit(size)), "label-sample")
+    # two rows
+    stands = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("_all")).join(F.broadcast(pick.groupBy("toxic").agg(F.count(F.lit(1)).alias("_picked"))), "toxic")
+    stands = stands.select("toxic", (F.col("_all") / F.col("_picked")).alias("stands_for"))
+    # at most 2 * size rows of three numbers
+    return written(docs.select("doc_id", "text").join(F.broadcast(pick.join(F.broadcast(stands), "toxic")), "doc_id"), "labelled")
 
 
 def _counted(sample: DataFrame, terms, spec: str = "term string, toxic long, harmless long") -> DataFrame:
@@ -136,8 +145,10 @@ def _terms(text: str | None) -> set[str]:
 
 
 def learn(sample: DataFrame, *, lexicon: int = LEXICON, support: int = SUPPORT, least_weight: float = LEAST_WEIGHT) -> Model:
-    """A model from doc_id, text, toxic (0 or 1) of a bounded number of documents.
+    """A model from doc_id, text, toxic (0 or 1), stands_for of a bounded number of documents.
 
+    Weights of entries compare rates inside each label, which its share among all documents does not move;
+    the curve weights documents by `stands_for`.
     Without documents of both labels the model is empty and scores 0.
     """
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -169,25 +180,27 @@ def learn(sample: DataFrame, *, lexicon: int = LEXICON, support: int = SUPPORT,
     def measure(batches):
         for batch in batches:
             rows = [shared.value.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32()), batch.column("stands_for")], names=["x", "y", "w"])
 
-    found = sample.orderBy("doc_id").select("text", "toxic").mapInArrow(measure, "x array<double>, y int").toPandas()
-    model.curve = logistic(np.array(found["x"].tolist()), found["y"].to_numpy(float))
+    found = sample.orderBy("doc_id").select("text", "toxic", "stands_for").mapInArrow(measure, "x array<double>, y int, w double").toPandas()
+    # to an average of one, so that the penalty keeps its size
+    w = found["w"].to_numpy(float)
+    model.curve = logistic(np.array(found["x"].tolist()), found["y"].to_numpy(float), w / w.mean())
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Coefficients by Newton's method, halving steps that do not lower the loss."""
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Coefficients under row weights `w` by Newton's method, halving steps that do not lower the loss."""
     b = np.zeros(x.shape[1])
 
     def loss(b):
         z = x @ b
-        return np.sum(np.logaddexp(0, z) - y * z) + 0.5 * penalty * len(y) * (b[1:] @ b[1:])
+        return w @ (np.logaddexp(0, z) - y * z) + 0.5 * penalty * len(y) * (b[1:] @ b[1:])
 
     ridge = penalty * len(y) * np.diag([1e-9, *np.ones(len(b) - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (y - p) - ridge @ b)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (w * (y - p)) - ridge @ b)
         rate = 1.0
         while loss(b + rate * step) > loss(b) and rate > 1e-4:
             rate /= 2

@@ -309,6 +309,25 @@ def test_toxicity_of_held_out_documents(spark):
     assert same(toxicity.held_out_scores(docs, flipped).collect()) == same(found)
 
 
+def test_sampled_labels_keep_their_share(spark):
+    """A word that is toxic in a fifth of its documents stays harmless when both labels are capped."""
+    rng, rows, labels = random.Random(17), [], []
+    for i in range(1500):
+        bad = i % 15 == 0
+        vague = bad or rng.random() < 0.3
+        rows.append((i, f"{sentence(rng, 20, 40)} {'murky' if vague else 'plain'} {sentence(rng, 20, 40)}", "en", "s"))
+        labels.append((i, 0, int(bad)))
+    docs, marks = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, marks, 60)
+    stands = {r.toxic: (r.n, round(r.s)) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("stands_for").alias("s")).collect()}
+    assert stands == {0: (60, 1400), 1: (60, 100)}
+    model = toxicity.learn(sample, least_weight=0.5)
+    assert any("murky".startswith(t.strip()) for t in model.weights)
+    scored = toxicity.score(docs.join(marks, "doc_id"), model).collect()
+    assert abs(np.mean([r.score for r in scored]) - 100 / 1500) < 0.04
+    assert np.mean([r.score >= 0.5 for r in scored]) < 0.05
+
+
 def test_toxicity_without_labels_or_documents(spark):
     marks = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.held_out_scores(table(spark, odd_rows()), marks).collect()} == {0.0}
