@@ -25,6 +25,10 @@ DIMENSIONS = 1024
 ORDER = 3
 UNKNOWN = "und"
 MAX_LANGUAGES = 10_000
+#: The cosine of unrelated texts is spread by 1 / sqrt(dimensions); so many spreads are more than chance.
+NOISE = 4.0
+#: Clean texts with fewer letters than this may have no more than a chance cosine.
+ENOUGH_LETTERS = 50
 _SLICE = 256 << 10
 _CODES = 0x110000
 _letters: list[np.ndarray] = []
@@ -136,23 +140,24 @@ def profile(docs: DataFrame, *, dimensions: int = DIMENSIONS, **options) -> tupl
     return [r["lang"] for r in rows], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", order: int = ORDER) -> DataFrame:
-    """`docs` with the predicted language and (1 + cosine) / 2.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", letters_out: str | None = None, order: int = ORDER) -> DataFrame:
+    """`docs` with the predicted language and (1 + cosine) / 2, and the number of letters if `letters_out` names it.
 
     A null text, one without a letter, and any text under an empty model is `und` with score 0.
     Of languages with equal cosines the first by code point wins.
     """
-    refuse(docs, lang_out, score_out)
+    more = [letters_out] if letters_out else []
+    refuse(docs, lang_out, score_out, *more)
     names, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # one vector per language
-    schema = docs.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
+    schema = docs.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).withColumns({c: F.lit(0).cast("long") for c in more}).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
             for batch in slices(whole, text, _SLICE):
                 n = batch.num_rows
-                best, score = [UNKNOWN] * n, np.zeros(n)
+                best, score, letters = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
                 if names:
                     vectors, letters = bundle(batch.column(text).to_pylist(), np.arange(n), n, order, known.shape[1])
                     size = np.linalg.norm(vectors, axis=1)
@@ -161,7 +166,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
                     ok = (letters > 0) & (size > 0)
                     score = np.where(ok, np.clip((1 + cosine[np.arange(n), at]) / 2, 0, 1), 0.0)
                     best = [names[a] if o else UNKNOWN for a, o in zip(at, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], names=[*batch.schema.names, lang_out, score_out])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score), *(pa.array(letters, pa.int64()) for _ in more)], names=[*batch.schema.names, lang_out, score_out, *more])
 
     return docs.mapInArrow(run, schema)
 
@@ -181,11 +186,16 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, *, least: float = 0.5, noise: float = NOISE, enough: int = ENOUGH_LETTERS, text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` without the texts that have no letters or are unlike every language of the table.
 
-    Prototypes come from all rows with a language; `least` is the score of a cosine of 0.
+    Prototypes come from all rows with a language. A text needs a score of `least`, that of a
+    cosine of 0, and from `enough` letters on a cosine of `noise` spreads of unrelated texts, too.
+    A shorter text cannot be told from chance and stays.
     """
-    name, score = unused("lang_pred", docs.columns), unused("lang_score", docs.columns)
-    found = identify(docs, profile(docs, text=text, lang=lang), text=text, lang_out=name, score_out=score)
-    return found.where((F.col(name) != UNKNOWN) & (F.col(score) >= least)).drop(name, score)
+    name, score, letters = unused("lang_pred", docs.columns), unused("lang_score", docs.columns), unused("n_letters", docs.columns)
+    model = profile(docs, text=text, lang=lang)
+    found = identify(docs, model, text=text, lang_out=name, score_out=score, letters_out=letters)
+    clear = (1 + noise / np.sqrt(model[1].shape[1])) / 2
+    needed = F.when(F.col(letters) >= enough, F.lit(max(least, float(clear)))).otherwise(F.lit(least))
+    return found.where((F.col(name) != UNKNOWN) & (F.col(score) >= needed)).drop(name, score, letters)

@@ -281,6 +281,17 @@ def test_documents_of_no_language_go(spark):
     assert {r.lang_pred for r in language.held_out_predictions(table(spark, [(1, "text", None)])).collect()} == {"und"}
 
 
+def test_noise_and_unlearned_scripts_go(spark):
+    rng = random.Random(21)
+    drawn = lambda letters: "".join(rng.choice(letters) if rng.random() < 0.85 else " " for _ in range(400))
+    rows = [(i, talk(rng, lang), lang) for i in range(150) for lang in [rng.choice(["en", "de", "fr"])]]
+    rows += [(200 + i, w, None) for i, w in enumerate(["the", "wh and", "sch", "der ei", "eau", "les que"])]
+    rows += [(1000 + i, drawn("bdfgjkmpqvxyz"), None) for i in range(40)]
+    rows += [(2000 + i, drawn([chr(c) for c in range(0x10D0, 0x10F0)]), None) for i in range(40)]
+    kept = {r.doc_id for r in language.keep_identified(table(spark, rows, n_letters=1)).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 1000}
+
+
 def toxic_corpus(seed=11, n=700):
     rng, rows, labels = random.Random(seed), [], []
     for i in range(n):
