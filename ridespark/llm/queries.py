@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, fixity, jaccard, language, mixing, repeats, tokencount, tokenids, toxicity
+from . import align, decontaminate, fingerprint, fixity, jaccard, language, mixing, repeats, tokencount, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,8 @@ def op9_fingerprints(spark, folder):
 @query
 def op10_token_files(spark, folder):
     return tokenids.token_digests(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op11_alignment(spark, folder):
+    return align.alignment_digests(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
