@@ -74,3 +74,14 @@ files as (select f, count(*) c, sum(l) s from leaf group by 1)
 select f.f::bigint file, c n_records, s::bigint n_bytes, a3.d root, b3.d replica_root, n::int no, o::bigint "offset", l::bigint length, case when x is null and n is not null then 'missing' when n is not null then 'changed' end kind
 from files f left join a3 on a3.f = f.f left join b3 on b3.f = f.f left join (select * from leaf where x is distinct from d) m on m.f = f.f
 """
+
+SQL["op13_line_dedup"] = r"""
+with lines as (
+  select doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) n from (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents)),
+keys as (
+  select doc_id, n, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from lines),
+shared as (select k, max(doc_id) last from keys where length(k) >= 20 group by k having count(distinct doc_id) >= 3)
+select doc_id, count(*) n_lines, count(*) filter (where last <> doc_id) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by n) filter (where last is null or last = doc_id), '')) kept_sha256
+from keys left join shared using (k) group by doc_id
+"""
