@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, decontaminate, fingerprint, fixity, jaccard, language, linededup, mixing, repeats, tokencount, tokenids, toxicity
+from . import align, conversations, decontaminate, fingerprint, fixity, jaccard, language, linededup, mixing, repeats, tokencount, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,11 @@ def op11_alignment(spark, folder):
     return align.alignment_digests(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op12_conversation_repair(spark, folder):
+    return conversations.repair_digests(read(spark, folder, "conversations"))
+
+
 @query
 def op13_line_dedup(spark, folder):
     return linededup.line_digests(read(spark, folder, "documents"))

@@ -85,3 +85,63 @@ select doc_id, count(*) n_lines, count(*) filter (where last <> doc_id) n_droppe
   sha256(coalesce(string_agg(line, chr(10) order by n) filter (where last is null or last = doc_id), '')) kept_sha256
 from keys left join shared using (k) group by doc_id
 """
+
+# crc32 runs bit by bit. States of a repair: 0 start, 1 after system, 2 after user, 3 after assistant;
+# a weight is the cost in nine digits and the audit after it, so that the least text is the lightest.
+SQL["op12_conversation_repair"] = r"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ord(c)::bigint) codes
+  from conversations),
+fated as (
+  select *, xor(list_reduce(list_concat([4294967295::bigint], codes),
+    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda b, y: xor(b >> 1, (b & 1) * 3988292384::bigint))), 4294967295::bigint) % 20 fate from keyed),
+damaged as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when fate = 3 then 2 else 1 end)) copy
+  from fated where fate <> 0),
+placed as (
+  select conv_id, turn, role, text, left(role, 1) c, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) i,
+    not regexp_matches(text, '[^\x20\x09-\x0D]') blank,
+    not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') unfinished
+  from damaged),
+met as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 again from placed),
+messages as (select *, blank or again must, case when unfinished then 3 else 0 end more from met),
+follows(st, nx) as (values (0, 2), (1, 2), (2, 3), (3, 2)),
+kept(st, c, nx) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ways as (
+  select conv_id, 0::bigint i, unnest([0, 2, 3]) st, unnest(['000000000', '000000003I', '000000006II']) v from (select distinct conv_id from messages)
+  union all
+  select conv_id, i, st, min(v) v from (
+    select conv_id, i, unnest([x.st, n1.nx, n2.nx]) st,
+      unnest([lpad(cost::varchar, 9, '0') || audit, lpad((cost + 3)::varchar, 9, '0') || audit || 'I', lpad((cost + 6)::varchar, 9, '0') || audit || 'II']) v
+    from (
+      select w.conv_id, m.i, case e.e when 'D' then w.st when 'K' then k.nx else n.nx end st,
+        left(w.v, 9)::bigint + case e.e when 'D' then 4 when 'K' then m.more else m.more + 3 end cost, substr(w.v, 10) || e.e audit
+      from ways w join messages m on m.conv_id is not distinct from w.conv_id and m.i = w.i + 1
+        join follows n on n.st = w.st left join kept k on k.st = w.st and k.c = m.c, (values ('D'), ('K'), ('R')) e(e)
+      where e.e = 'D' or not m.must and (e.e = 'R' or k.nx is not null)) x
+    join follows n1 on n1.st = x.st join follows n2 on n2.st = n1.nx) y
+  group by conv_id, i, st),
+size as (select conv_id, count(*) n, sum(blank::int) blank, sum((again and not blank)::int) duplicate, sum((unfinished and not must)::int) truncated,
+    coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps from messages group by conv_id),
+crossed as (
+  select conv_id, sum((before || c not in ('su', 'ua', 'au'))::int) illegal
+  from (select conv_id, c, lag(c) over (partition by conv_id order by i) before from messages) where before is not null group by conv_id),
+best as (
+  select s.conv_id, min(v) v from ways w join size s on s.conv_id is not distinct from w.conv_id and s.n = w.i where st in (0, 3) group by s.conv_id),
+edits as (
+  select conv_id, k, e, count(*) filter (where e <> 'I') over p i, count(*) filter (where e <> 'D') over p m
+  from (select conv_id, unnest(string_split(substr(v, 10), '')) e, unnest(range(1, length(v) - 8)) k from best where length(v) > 9) window p as (partition by conv_id order by k)),
+written as (
+  select e.conv_id, e.k, e.m, case when e.e = 'K' then r.role end as role, case when e.e = 'I' then '' else r.text end as text,
+    max((e.m = 1 and e.e = 'K' and r.c = 's')::int) over (partition by e.conv_id) led
+  from edits e left join messages r on r.conv_id is not distinct from e.conv_id and r.i = e.i where e.e <> 'D'),
+lines as (
+  select conv_id, string_agg(coalesce(role, case when (m - led) % 2 = 1 then 'user' else 'assistant' end) || ':' || text, chr(10) order by k) s from written group by conv_id)
+select c.conv_id, coalesce(s.gaps, 0)::bigint gaps, coalesce(s.blank, 0)::bigint blank, coalesce(s.duplicate, 0)::bigint duplicate, coalesce(s.truncated, 0)::bigint truncated,
+  coalesce(x.illegal, 0)::bigint illegal, coalesce(left(b.v, 9)::bigint, 0) "cost", coalesce(substr(b.v, 10), '') audit, sha256(coalesce(l.s, '')) repaired_sha256
+from (select distinct conv_id from conversations) c
+left join size s on s.conv_id is not distinct from c.conv_id left join crossed x on x.conv_id is not distinct from c.conv_id
+left join best b on b.conv_id is not distinct from c.conv_id left join lines l on l.conv_id is not distinct from c.conv_id
+"""
