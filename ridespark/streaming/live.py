@@ -41,9 +41,15 @@ def live_islands(stream: DataFrame, gap: str, *, lateness: str = "10 seconds", k
     )
 
 
-def live_distinct(stream: DataFrame, columns: Sequence[str], *, lateness: str = "10 seconds") -> DataFrame:
-    """Each combination of `columns` once within the watermark."""
-    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(columns))
+def live_distinct(stream: DataFrame, columns: Sequence[str], *, within: str = "10 seconds", lateness: str = "10 seconds") -> DataFrame:
+    """Each combination of `columns` once in every span `within` of the epoch, whose start is added as `span_ts`.
+
+    A combination leaves the state when the watermark has passed `within` and `lateness` after it, so the
+    state holds the combinations of that time only, and the rows do not depend on how the source is cut
+    into batches.
+    """
+    spans = stream.withColumn("span_ts", F.window("ts", within)["start"])
+    return spans.withWatermark("ts", f"{within} {lateness}").dropDuplicatesWithinWatermark([*columns, "span_ts"])
 
 
 def live_delta(stream: DataFrame, value: str, *, key_type: str = "long", keep_hours: int | None = None) -> DataFrame:

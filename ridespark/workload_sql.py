@@ -1099,19 +1099,17 @@ add(
     "live_windows",
     [],
     f"""with h as (select event_type, value, ts, unnest([0, 1]) as k from events),
-    w as (select event_type, value, epoch_us(ts) // 7200000000 * 7200000000 - k * 7200000000 as start_us from h),
-    m as (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 as mark from events)
-    select event_type, start_us, count(*) as n, {r('avg(value)')} as mean_value from w, m where start_us + 14400000000 <= mark group by event_type, start_us""",
+    w as (select event_type, value, epoch_us(ts) // 7200000000 * 7200000000 - k * 7200000000 as start_us from h)
+    select event_type, start_us, count(*) as n, {r('avg(value)')} as mean_value from w group by event_type, start_us""",
 )
 add(
     "live_islands",
     [],
-    """with g as (select event_type, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over p <= 1200000000 then 0 else 1 end as opens from events window p as (partition by event_type order by ts)),
-    i as (select *, sum(opens) over (partition by event_type order by us rows unbounded preceding) as isl from g),
-    m as (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 as mark from events)
-    select event_type, min(us) as first_us, max(us) as last_us, count(*) as events from i, m group by event_type, isl, mark having max(us) + 1200000000 <= mark""",
+    """with g as (select user_id, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over p <= 43200000000 then 0 else 1 end as opens from events window p as (partition by user_id order by ts)),
+    i as (select *, sum(opens) over (partition by user_id order by us rows unbounded preceding) as isl from g)
+    select user_id as video_id, min(us) as first_us, max(us) as last_us, count(*) as events from i group by user_id, isl""",
 )
-add("live_distinct", [], "select distinct user_id as video_id, event_type from events")
+add("live_distinct", [], "select distinct user_id as video_id, event_type, epoch_us(ts) // 86400000000 * 86400000000 as span_us from events")
 add(
     "live_deltas",
     ["rates"],

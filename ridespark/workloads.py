@@ -6,7 +6,6 @@ rounded so that results can be compared with the SQL in `workload_sql`.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,9 +40,9 @@ from .operators import (
 )
 from .plans.intervals import drop_overlapping
 from .schemas import DELTA_SOURCES, SAMPLE_COLUMNS, SIGNAL_COLUMNS
-from .session import checkpoint_folder, freeze
+from .session import freeze
 from .sources import flightlog, lists, manifest as manifests, sinks
-from .streaming import live
+from .streaming import finite, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1077,42 +1076,24 @@ def _event_stream(spark, folder):
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "video_id")
 
 
-def _run_stream(spark, stream: DataFrame) -> DataFrame:
-    """Run to the end of what is there now, through files in the shared folder."""
-    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
-
-
 @query
 def live_windows(spark, folder):
-    aggs = {"n": F.count(F.lit(1)), "mean_value": F.avg("value")}
-    out = live.live_windows(_event_stream(spark, folder), aggs, window="4 hours", stride="2 hours", lateness="1 hour", keys=["event_type"])
-    return _run_stream(spark, out).select(
-        "event_type", F.unix_micros("start_ts").alias("start_us"), "n", r("mean_value").alias("mean_value")
-    )
+    aggs = {"n": ("count", F.lit(1)), "total": ("sum", F.col("value"))}
+    out = finite.complete_windows(_event_stream(spark, folder), aggs, window="4 hours", stride="2 hours", lateness="1 hour", keys=["event_type"])
+    return out.select("event_type", F.unix_micros("start_ts").alias("start_us"), "n", r(F.col("total") / F.col("n")).alias("mean_value"))
 
 
 @query
 def live_islands(spark, folder):
-    out = live.live_islands(_event_stream(spark, folder), "20 minutes", lateness="1 hour", keys=["event_type"])
-    return _run_stream(spark, out).select(
-        "event_type", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "events"
-    )
+    out = finite.complete_islands(_event_stream(spark, folder), "12 hours", lateness="1 hour")
+    return out.select("video_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "events")
 
 
 @query
 def live_distinct(spark, folder):
     rows = _event_stream(spark, folder).select("video_id", "event_type", "ts")
-    out = live.live_distinct(rows, ["video_id", "event_type"], lateness="40 days")
-    return _run_stream(spark, out).select("video_id", "event_type")
+    out = live.live_distinct(rows, ["video_id", "event_type"], within="1 day", lateness="1 hour")
+    return finite.run_available(out)[0].select("video_id", "event_type", F.unix_micros("span_ts").alias("span_us"))
 
 
 @query
@@ -1120,4 +1101,4 @@ def live_deltas(spark, folder):
     stream = _event_stream(spark, folder)
     t = (F.unix_micros("ts") - A.EPOCH_US) / A.US_PER_SECOND
     out = live.live_delta(stream.withColumn("t", t), "value")
-    return rounded(_run_stream(spark, out))
+    return rounded(finite.run_available(out)[0])

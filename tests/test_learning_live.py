@@ -1,4 +1,6 @@
+import collections
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from ridespark import workloads
 from ridespark.operators import audit, learning, normalize, smoothing, telemetry
 from ridespark.schemas import DELTA_SOURCES, FEATURE_COLUMNS, GAINS, SAMPLE_COLUMNS
-from ridespark.streaming import live
+from ridespark.streaming import finite, live
 
 NAMES = ["a", "b", "c"]
 
@@ -175,10 +177,65 @@ def test_live_matches_batch(spark, folder):
         "event_type", F.unix_micros("window.start").alias("start_us"), "n"
     )
     got = {tuple(r) for r in workloads.QUERIES["live_windows"](spark, folder).select("event_type", "start_us", "n").collect()}
-    want = {tuple(r) for r in batch.collect()}
-    assert got and got <= want  # the last windows stay open behind the watermark
-    top = max(s for _, s, _ in got)
-    assert {w for w in want if w[1] <= top - 4 * 3600 * 10**6} <= got
+    assert got == {tuple(r) for r in batch.collect()}
+
+
+def batches(spark, tmp_path, rows, size):
+    """A stream of (video_id, seconds, x) rows, one file a micro-batch, in the order given."""
+    src = str(tmp_path / "in")
+    for i in range(0, len(rows), size):
+        frame = spark.createDataFrame(rows[i : i + size], "video_id long, t double, x double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+        frame.coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema("video_id long, t double, x double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@pytest.mark.parametrize("size", [4, 100])
+def test_complete_windows_and_islands(spark, tmp_path, size):
+    rng = random.Random(1)
+    times = sorted(round(rng.random() * 200, 3) for _ in range(60))
+    rows = [(rng.randrange(3), t, round(rng.random(), 3)) for t in times]
+    stream = batches(spark, tmp_path, rows, size)
+    aggs = {"most": ("max", F.col("x")), "n": ("count", F.lit(1)), "total": ("sum", F.col("x")), "span": ("max", F.col("t"))}
+    got = {tuple(r) for r in finite.complete_windows(stream, aggs, window="8 seconds", stride="4 seconds").selectExpr("video_id", "unix_seconds(start_ts)", "n", "most", "round(total, 6)", "span").collect()}
+    groups = collections.defaultdict(list)
+    for v, t, x in rows:
+        for k in (int(t // 4), int(t // 4) - 1):
+            groups[v, 4 * k].append((x, t))
+    assert got == {(v, s, len(g), max(x for x, _ in g), round(sum(x for x, _ in g), 6), max(t for _, t in g)) for (v, s), g in groups.items()}
+    got = {tuple(r) for r in finite.complete_islands(stream, "5 seconds").selectExpr("video_id", "unix_micros(first_ts)", "unix_micros(last_ts)", "events").collect()}
+    want = set()
+    for v in range(3):
+        island = []
+        for t in [t for w, t, _ in rows if w == v] + [1e9]:
+            if island and t - island[-1] > 5:
+                want.add((v, int(island[0] * 1e6), int(island[-1] * 1e6), len(island)))
+                island = []
+            island.append(t)
+    assert got == want
+
+
+def test_a_stream_goes_on_from_its_state(spark, tmp_path):
+    """What is open after one run is in the state, and is not when later rows have closed it."""
+    rows = [(1, float(t), 1.0) for t in (1, 2, 3, 50, 51)]
+    stream = batches(spark, tmp_path, rows[:3], 3)
+    folder = str(tmp_path / "run")
+    aggs = {"n": ("count", F.lit(1))}
+    run = lambda s: sorted(tuple(r) for r in finite.complete_windows(s, aggs, window="10 seconds", stride="10 seconds", folder=folder).selectExpr("unix_seconds(start_ts)", "n").collect())
+    assert run(stream) == [(0, 3)]
+    assert run(batches(spark, tmp_path, rows[3:], 2)) == [(0, 3), (50, 2)]
+
+
+def test_aggregates_of_more_than_one_value_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        finite.complete_windows(batches(spark, tmp_path, [(1, 1.0, 1.0)], 1), {"mean": ("avg", F.col("x"))})
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_live_distinct_does_not_depend_on_batches(spark, tmp_path, size):
+    rows = [(i % 3, float(i), 0.0) for i in range(40)]
+    out, _ = finite.run_available(live.live_distinct(batches(spark, tmp_path, rows, size), ["video_id"], within="10 seconds", lateness="5 seconds"))
+    got = sorted(tuple(r) for r in out.selectExpr("video_id", "unix_seconds(span_ts)").collect())
+    assert got == sorted({(v, int(t // 10) * 10) for v, t, _ in rows})
 
 
 def test_live_delta_keeps_state(spark, tmp_path):
@@ -187,7 +244,7 @@ def test_live_delta_keeps_state(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([r for r in rows if i * 3 <= r[1] < i * 3 + 3], "video_id long, t double, x double").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("video_id long, t double, x double").option("maxFilesPerTrigger", 1).parquet(src)
-    out = workloads._run_stream(spark, live.live_delta(stream, "x"))
+    out = finite.run_available(live.live_delta(stream, "x"))[0]
     got = {(r.video_id, r.t): r.delta for r in out.collect()}
     assert got == {(v, t): (0.0 if t == 0 else 2 * t - 1) for v, t, _ in rows}
 
@@ -197,7 +254,7 @@ def test_live_delta_beyond_one_arrow_batch(spark, tmp_path):
     stream = stream_of(spark, tmp_path, rows, "video_id long, t double, x double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        got = {r.t: r.delta for r in workloads._run_stream(spark, live.live_delta(stream, "x")).collect()}
+        got = {r.t: r.delta for r in finite.run_available(live.live_delta(stream, "x"))[0].collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {t: (0.0 if t == 0 else 2 * t - 1) for _, t, _ in rows}
