@@ -8,12 +8,15 @@ annotation_order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.intervals import drop_overlapping, overlap_pairs
-from ..plans.ordered import running
+from ..plans.intervals import CELL, LEVEL, OWN, drop_overlapping, in_cells, overlap_pairs
+from ..plans.ordered import ordinal, running
 from ..session import freeze
 
 EDIT = "edit_id"
@@ -147,22 +150,103 @@ def trim_to_evidence(candidates: DataFrame, *, max_clip: float, min_clip: float)
     ).drop("_long", "_start", "_kept")
 
 
-def _fold(queue: Column, left: Column, limited: bool) -> Column:
-    """Walk one bounded, ranked queue: keep what overlaps nothing kept and still fits."""
-    state = F.struct(F.expr("filter(queue, c -> false)").alias("kept"), left.alias("left"))
+def _alone_ahead(open_: DataFrame, unit: Sequence[str], rank: str, width: float) -> DataFrame:
+    """Unit and rank of the rows that are ahead of all others in each cell they share with them.
 
-    def step(acc: Column, c: Column) -> Column:
-        clash = F.exists(
-            acc["kept"],
-            lambda k: (k["video_id"] == c["video_id"]) & (c["start_s"] < k["end_s"]) & (k["start_s"] < c["end_s"]),
-        )
-        fits = (c["duration"] <= acc["left"] + SLACK) if limited else F.lit(True)
-        rest = F.greatest(F.lit(0.0), acc["left"] - c["duration"]) if limited else acc["left"]
-        return F.when(clash | ~fits, acc).otherwise(
-            F.struct(F.concat(acc["kept"], F.array(c)).alias("kept"), rest.alias("left"))
-        )
+    Intervals that overlap share a cell in which one of the two stands as its own, so a cell needs
+    two numbers: the least rank of those that own it, and of those below. No pairs are made.
+    """
+    unit = list(unit)
+    at = [*unit, LEVEL, CELL]
+    slim = in_cells(open_.select(*unit, rank, "start_s", "end_s"), "start_s", "end_s", width).select(*at, rank, OWN)
+    least = slim.groupBy(*at).agg(F.min(F.when(F.col(OWN), F.col(rank))).alias("_owner"), F.min(F.when(~F.col(OWN), F.col(rank))).alias("_below"))
+    ahead = F.least(F.col("_owner"), F.when(F.col(OWN), F.col("_below")))
+    return slim.join(least, at).groupBy(*unit, rank).agg(F.min(ahead).alias("_ahead")).where(F.coalesce(F.col("_ahead") >= F.col(rank), F.lit(True))).select(*unit, rank)
+
+
+def _walked(head: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """Go through each unit's rows by rank: keep what overlaps nothing kept and fits what is left.
+
+    Returns the unit and rank of what is kept, and one row per unit with the last rank looked at and
+    the `rest` of its budget. A task streams through rows sorted by unit and rank; it holds the kept
+    clips of one unit.
+    """
+    unit = list(unit)
+    kinds = {f.name: f.dataType.simpleString() for f in head.schema}
+    spec = ", ".join([*(f"{u} {kinds[u]}" for u in unit), f"rank {kinds['rank']}", "rest double"])
+    rows = head.select(*unit, F.col("video_id").alias("_video"), "rank", "start_s", "end_s", "duration", "_left").sortWithinPartitions(*unit, "rank")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, left, last, out = None, {}, 0.0, None, []
+
+        def free(video, start: float, end: float) -> int | None:
+            """Where the interval goes among the video's kept ones; None if it overlaps one."""
+            starts, ends = kept.setdefault(video, ([], []))
+            at = bisect.bisect_left(starts, end)
+            return None if at and ends[at - 1] > start else at
+
+        for batch in batches:
+            for *key, video, rank, start, end, duration, budget in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if key != now:
+                    if now is not None:
+                        out.append([*now, last, left])
+                    now, kept, left = key, {}, budget
+                last = rank
+                if duration <= left + SLACK and (at := free(video, start, end)) is not None:
+                    starts, ends = kept[video]
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+                    left = max(0.0, left - duration)
+                    out.append([*key, rank, None])
+            if out:
+                yield _rows(out)
+                out = []
+        if now is not None:
+            yield _rows([[*now, last, left]])
+
+    def _rows(out: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:-1]), pa.array(columns[-1], pa.float64())], names=[*unit, "rank", "rest"])
+
+    return rows.mapInArrow(run, spec)
 
-    return F.aggregate(queue, state, step)
+
+def without_rivals(candidates: DataFrame, *, unit: Sequence[str] = (EDIT, "video_id"), rank: str = "rank", width: float = 8.0) -> DataFrame:
+    """Greedy choice of intervals in the order of `rank` (unique in a unit): each that overlaps no better one chosen.
+
+    In every round all candidates that are ahead of everything near them enter at once, and what
+    overlaps them leaves. The best open candidate of a unit always enters, and far-apart ones do not
+    wait for each other, so the rounds follow the longest chain of neighbours of falling rank. The
+    result does not depend on `width`, the least width of a cell in seconds.
+    """
+    names, span = list(unit), ("start_s", "end_s")
+    rounds: list[DataFrame] = []
+    open_ = candidates
+    while True:
+        entering = freeze(open_.join(_alone_ahead(open_, names, rank, width), [*names, rank], "left_semi"))
+        if entering.isEmpty():
+            break
+        rounds.append(entering)
+        rest = open_.join(entering.select(*names, rank), [*names, rank], "left_anti")
+        open_ = freeze(drop_overlapping(rest, entering, names, span, span, width=width))
+    return reduce(DataFrame.unionByName, rounds) if rounds else candidates.limit(0)
+
+
+def _within_budget(open_: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """What enters before the first clip of each edit that does not fit; and, of edits with such a clip, what may still enter.
+
+    Without a budget the choice is that of `without_rivals`. Running sums of the chosen lengths find the
+    first one that does not fit; up to there the choice stands. Behind it, what is longer than the rest
+    can never enter, while rivals of the skipped one may.
+    """
+    chosen = without_rivals(open_, width=width)
+    summed = freeze(running(chosen, [EDIT], F.col("rank"), 4096, [F.col("rank")], {"_before": ("sum", F.col("duration"))}))
+    rest = F.greatest(F.lit(0.0), F.col("_left") - F.col("_before"))
+    stop = summed.where(F.col("duration") > rest + SLACK).groupBy(EDIT).agg(F.min(F.struct("rank", rest.alias("rest"))).alias("_stop"))
+    stop = freeze(stop.select(EDIT, F.col("_stop.rank").alias("_at"), F.col("_stop.rest").alias("_rest")))
+    kept = summed.join(stop, EDIT, "left").where(F.col("_at").isNull() | (F.col("rank") < F.col("_at"))).select(*open_.columns)
+    behind = open_.join(stop, EDIT).where((F.col("rank") > F.col("_at")) & (F.col("duration") <= F.col("_rest") + SLACK))
+    return kept, behind.withColumn("_left", F.col("_rest")).drop("_at", "_rest")
 
 
 def select_greedy(
@@ -172,8 +256,8 @@ def select_greedy(
     budgets: DataFrame | None = None,
     min_clip: float = 3.0,
     max_clip: float = 0.0,
-    batch: int = 1000,
-    width: float = 60.0,
+    head: int = 20_000,
+    width: float = 8.0,
 ) -> DataFrame:
     """Keep candidates best first: none that overlaps a mandatory or a kept clip, none
     longer than what is left of the edit's budget. One that does not fit is skipped and
@@ -182,70 +266,44 @@ def select_greedy(
     `budgets` holds edit_id and budget (seconds); edits without a row have none. Mandatory
     time is taken off first, and an edit whose mandatory clips exceed its budget gets nothing.
 
-    The choice is sequential inside an edit with a budget, and inside (edit, video)
-    otherwise. It proceeds in rounds: the best `batch` open candidates of every such
-    unit are folded in order, then everything they rule out is dropped by joins. A unit
-    of any size therefore never sits in one task, and the result does not depend on
-    `batch`. Ordinary inputs (ten segments per video) end after one round.
+    The choice is sequential inside an edit with a budget, and inside (edit, video) otherwise. The
+    best `head` candidates of every such unit are walked through in order; most units end there. Of
+    longer ones, joins drop what overlaps a kept clip or cannot fit, and what is left is chosen in
+    parallel (`without_rivals`, `_within_budget`) before the next walk. No unit sits in one task, and
+    the result depends on neither `head` nor `width`.
     """
     cols = candidates.columns
-    open_ = drop_overlapping(candidates, mandatory, [EDIT, "video_id"], ("start_s", "end_s"), ("start_s", "end_s"), width=width)
-    # Ranks are those of the untrimmed candidates.
-    rank = F.struct(
-        (-F.col("max_score")).alias("r1"),
-        (-F.size("evidence")).alias("r2"),
-        (-F.col("mean_score")).alias("r3"),
-        (-F.col("duration")).alias("r4"),
-        F.col("video_order").alias("r5"),
-        F.col("start_s").alias("r6"),
-        F.col("video_id").alias("r7"),
-        F.coalesce("annotation_order", F.lit(-1)).alias("r8"),
-    )
-    open_ = trim_to_evidence(open_.withColumn("rank", rank), max_clip=max_clip, min_clip=min_clip)
+    span, per_video = ("start_s", "end_s"), [EDIT, "video_id"]
+    open_ = drop_overlapping(candidates, mandatory, per_video, span, span, width=width)
+    # ranks are those of the untrimmed candidates
+    open_ = trim_to_evidence(ordinal(open_, candidate_order(), [EDIT], name="rank"), max_clip=max_clip, min_clip=min_clip)
     unlimited = F.lit(float("inf"))
     if budgets is None:
-        unit = [EDIT, "video_id"]
-        open_ = open_.withColumn("left", unlimited)
+        unit, open_ = per_video, open_.withColumn("_left", unlimited)
     else:
         unit = [EDIT]
         used = mandatory.groupBy(EDIT).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("_used"))
         over = F.col("budget").isNotNull() & (F.coalesce("_used", F.lit(0.0)) > F.col("budget") + SLACK)
         left = F.greatest(F.lit(0.0), F.col("budget") - F.coalesce("_used", F.lit(0.0)))
-        open_ = (
-            open_.join(budgets.select(EDIT, "budget"), EDIT, "left")
-            .join(used, EDIT, "left")
-            .where(~over)
-            .withColumn("left", F.coalesce(left, unlimited))
-            .drop("budget", "_used")
-        )
+        open_ = open_.join(budgets.select(EDIT, "budget"), EDIT, "left").join(used, EDIT, "left").where(~over)
+        open_ = open_.withColumn("_left", F.coalesce(left, unlimited)).drop("budget", "_used")
     open_ = freeze(open_)
     rounds: list[DataFrame] = []
-    while not open_.isEmpty():
-        w = W.partitionBy(*unit).orderBy("rank")
-        head = open_.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= batch)
-        folded = freeze(
-            head.groupBy(*unit)
-            .agg(
-                F.array_sort(F.collect_list(F.struct("rank", *[c for c in cols if c not in unit or c == "video_id"]))).alias("queue"),
-                F.first("left").alias("left"),
-                F.max("rank").alias("_last"),
-            )
-            .withColumn("_state", _fold(F.col("queue"), F.col("left"), budgets is not None))
-            .select(*unit, "_last", F.col("_state.kept").alias("kept"), F.col("_state.left").alias("_rest"))
-        )
-        kept = folded.select(*unit, F.explode("kept").alias("_k")).select(
-            *unit, *[F.col(f"_k.{c}").alias(c) for c in cols if c not in unit]
-        ).select(*cols)
-        rounds.append(kept)
-        rest = open_.join(folded.select(*unit, "_last", "_rest"), unit).where(
-            (F.col("rank") > F.col("_last")) & (F.col("duration") <= F.col("_rest") + SLACK)
-        ).withColumn("left", F.col("_rest")).drop("_last", "_rest")
-        open_ = freeze(
-            drop_overlapping(rest, kept, [EDIT, "video_id"], ("start_s", "end_s"), ("start_s", "end_s"), width=width)
-        )
-    if not rounds:
-        return candidates.limit(0)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    while True:
+        best = open_.withColumn("_n", F.row_number().over(W.partitionBy(*unit).orderBy("rank"))).where(F.col("_n") <= head)
+        walked = freeze(_walked(best, unit))
+        kept = open_.join(walked.where("rest is null").select(*unit, "rank"), [*unit, "rank"], "left_semi")
+        rounds.append(kept.select(*cols))
+        ends = walked.where("rest is not null").select(*unit, F.col("rank").alias("_last"), "rest")
+        behind = open_.join(ends, unit).where((F.col("rank") > F.col("_last")) & (F.col("duration") <= F.col("rest") + SLACK))
+        behind = freeze(behind.withColumn("_left", F.col("rest")).drop("_last", "rest"))
+        if behind.isEmpty():
+            break
+        open_ = freeze(drop_overlapping(behind, kept, per_video, span, span, width=width))
+        if budgets is None:
+            rounds.append(without_rivals(open_, width=width).select(*cols))
+            break
+        kept, behind = _within_budget(open_, width)
+        rounds.append(kept.select(*cols))
+        open_ = freeze(drop_overlapping(behind, kept, per_video, span, span, width=width))
+    return reduce(DataFrame.unionByName, rounds)

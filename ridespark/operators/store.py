@@ -12,7 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.digests import settings_key
+from ..plans.ordered import running
 from ..schemas import SAMPLE_COLUMNS
+from ..session import freeze
 
 ROWS_PER_BLOCK = 4096
 COVER = 1e-6
@@ -102,24 +104,50 @@ def find_covering(
     """The stored entry to use for each request (request_id, contract_key, source, start_s, end_s).
 
     Same contract and source, containing the request; an exact match wins, then the
-    shortest entry, then the entry id. Requests nothing covers are absent. Entries are
-    spread over time buckets and meet the requests that start there.
+    shortest entry, then the entry id. Requests nothing covers are absent.
+
+    Exact matches come from an equality join with the least id of each interval. The shortest
+    cover is a search for the least (length, id) among entries that start early and end late
+    enough. Entries are numbered by their start; those that start early enough are a prefix, cut
+    into at most three blocks of each size 4**k. Inside a block, a running minimum along descending
+    ends answers all its requests at once. No entry is paired with a request: rows grow by the
+    logarithm of a source's entries, base four. `bucket` is the chunk of seconds of the running values.
     """
-    at = lambda x, shift: F.floor((x + shift) / bucket).cast("long")
-    have = entries.select(
-        "entry_id", "contract_key", "source", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")
-    ).withColumn("_b", F.explode(F.sequence(at(F.col("_s"), -COVER), at(F.col("_e"), COVER))))
-    want = requests.select("request_id", "contract_key", "source", "start_s", "end_s").withColumns(
-        {"_need": needed_end(F.col("start_s"), F.col("end_s"), window, stride), "_b": at(F.col("start_s"), 0.0)}
-    )
-    fits = (F.col("_s") <= F.col("start_s") + COVER) & (F.col("_e") >= F.col("_need") - COVER)
-    inexact = (F.col("_s") != F.col("start_s")) | (F.col("_e") != F.col("end_s"))
+    scope = ["contract_key", "source"]
+    have = entries.select("entry_id", *scope, F.col("start_s").alias("_s"), F.col("end_s").alias("_e")).where("_s is not null and _e is not null")
+    want = requests.select("request_id", *scope, "start_s", "end_s").withColumn("_need", needed_end(F.col("start_s"), F.col("end_s"), window, stride))
+    same = have.groupBy(*scope, F.col("_s").alias("start_s"), F.col("_e").alias("end_s")).agg(F.min("entry_id").alias("_same"))
+
+    # order of starts: entries before the requests that they start early enough for
+    rows = have.select(*scope, F.col("_s").alias("_x"), F.lit(0).alias("_kind"), F.col("_e").alias("_y"), F.struct((F.col("_e") - F.col("_s")).alias("len"), "entry_id").alias("_best"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"))
+    asked = want.where("start_s is not null and _need is not null").select(
+        *scope, (F.col("start_s") + COVER).alias("_x"), F.lit(1).alias("_kind"), (F.col("_need") - COVER).alias("_y"),
+        F.lit(None).cast(rows.schema["_best"].dataType).alias("_best"), "request_id",
+    )
+    order = [F.col("_x"), F.col("_kind"), F.col("_best"), F.col("request_id")]
+    counted = freeze(running(rows.unionByName(asked), scope, F.col("_x"), bucket, order, {"_before": ("sum", F.lit(1) - F.col("_kind"))}))
+    total = counted.groupBy(*scope).agg(F.max("_before").alias("_n"))
+
+    # an entry stands in its block of each size; a request asks the blocks that its prefix is made of
+    deep = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") + 1) / 2).cast("int") - 1)
+    mine = F.transform(F.sequence(F.lit(0), deep), lambda k: F.struct(k.alias("k"), F.floor(F.col("_before") / F.pow(F.lit(4.0), k)).cast("long").alias("block")))
+
+    def prefix(k: Column) -> Column:
+        high = F.floor(F.col("_before") / F.pow(F.lit(4.0), k)).cast("long")
+        digit = F.pmod(high, F.lit(4))
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), lambda j: j < digit), lambda j: F.struct(k.alias("k"), (high - digit + j).alias("block")))
+
+    asks = F.flatten(F.transform(F.sequence(F.lit(0), deep), prefix))
+    blocks = counted.join(total, scope).withColumn("_at", F.explode(F.when(F.col("_kind") == 0, mine).otherwise(asks)))
+    blocks = blocks.select(*scope, F.col("_at.k").alias("_k"), F.col("_at.block").alias("_block"), (-F.col("_y")).alias("_down"), "_kind", "_best", "request_id")
+    order = [F.col("_down"), F.col("_kind"), F.col("_best"), F.col("request_id")]
+    found = running(blocks, [*scope, "_k", "_block"], F.col("_down"), bucket, order, {"_least": ("min", F.col("_best"))})
+    shortest = found.where(F.col("_kind") == 1).groupBy("request_id").agg(F.min("_least").alias("_least"))
+    exact = want.join(same, [*scope, "start_s", "end_s"]).select("request_id", "_same")
     return (
-        want.join(have, ["contract_key", "source", "_b"])
-        .where(fits)
-        .groupBy("request_id")
-        .agg(F.min(F.struct(inexact.alias("i"), (F.col("_e") - F.col("_s")).alias("len"), "entry_id")).alias("_m"))
-        .select("request_id", F.col("_m.entry_id").alias("entry_id"), (~F.col("_m.i")).alias("exact"))
+        shortest.join(exact, "request_id", "left")
+        .where("_least is not null")
+        .select("request_id", F.coalesce("_same", F.col("_least.entry_id")).alias("entry_id"), F.col("_same").isNotNull().alias("exact"))
     )
 
 

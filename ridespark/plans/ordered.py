@@ -73,12 +73,13 @@ def running(
 ) -> DataFrame:
     """Running totals over all rows strictly before each row of its key.
 
-    `values` maps an output name to ("sum" | "max", column). `order` is a total
+    `values` maps an output name to ("sum" | "max" | "min", column). `order` is a total
     order within the keys whose leading term is `chunk_by`, ascending. The result of
-    "sum" is 0 for the first row, that of "max" is null.
+    "sum" is 0 for the first row, that of the others is null; they pass over nulls.
     """
     keys = list(keys)
-    ops = {"sum": F.sum, "max": F.max}
+    ops = {"sum": F.sum, "max": F.max, "min": F.min}
+    both = {"max": F.greatest, "min": F.least}
     cut = df.withColumn(CHUNK, chunk_of(chunk_by, width))
     for name, (_, value) in values.items():
         cut = cut.withColumn(f"_in_{name}", value)
@@ -94,7 +95,7 @@ def running(
     for name, (kind, _) in values.items():
         local = ops[kind](f"_in_{name}").over(inside)
         base = F.col(f"_c_{name}")
-        total = F.greatest(local, base) if kind == "max" else (
+        total = both[kind](local, base) if kind in both else (
             F.coalesce(local, F.lit(0)) + F.coalesce(base, F.lit(0))
         )
         out = out.withColumn(name, total)

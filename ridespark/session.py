@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and read it from there.
+    """Write `df` once, as Parquet below the checkpoint folder, and read it from there.
 
-    Used where a later step depends on how rows were laid out, and where a loop would
-    otherwise grow its lineage.
+    Used where a later step depends on how rows were laid out, where several steps read the same
+    rows, and where a loop would otherwise grow its lineage. The plan runs once, its rows have a
+    known size, and a lost executor costs its running tasks only.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -205,6 +205,11 @@ _DEPENDS = {
 }
 
 
+def names_itself(body: str) -> bool:
+    """Whether the body has a table `w` that is built from itself."""
+    return "union all" in body and "from w join" in body
+
+
 def _with(names, body: str) -> str:
     order: list[str] = []
 
@@ -218,7 +223,7 @@ def _with(names, body: str) -> str:
         add(n)
     # materialized: several are read more than once
     head = ", ".join(f"{n} as materialized ({CTE[n]})" for n in order)
-    return f"with {head}{', ' if head and body.lstrip().startswith('#') else ' '}{body.lstrip().lstrip('#')}" if head else body
+    return f"with {'recursive ' if names_itself(body) else ''}{head}{', ' if head and body.lstrip().startswith('#') else ' '}{body.lstrip().lstrip('#')}" if head else body
 
 
 def add(name: str, uses, body: str) -> None:
@@ -713,6 +718,36 @@ add(
       {r('case when long then list_avg(list_transform(kept, lambda p: p.x)) else mean_score end')} as mean_score, len(kept)::int as evidence_count
     from k where not long or len(kept) > 0""",
 )
+_FREE = """f as (select edit_id, video_id, start_s, end_s, end_s - start_s as d, annotation_order as line from clips c where not mandatory and not exists (
+      select 1 from clips m where m.mandatory and m.edit_id = c.edit_id and m.video_id = c.video_id and c.start_s < m.end_s and m.start_s < c.end_s))"""
+_CHOSEN = f"""select edit_id, k.v as video_id, {r('k.s')} as start_s, {r('k.e')} as end_s, {r('k.d')} as max_score, k.l as annotation_order from (
+      select edit_id, unnest(kept) as k from (select *, max(n) over (partition by unit) as last from w) where n = last)"""
+# one candidate after the other, best first, per unit
+add(
+    "select_greedy",
+    ["clips"],
+    f"""#{_FREE},
+    c as (select *, edit_id * 1000000 + video_id as unit, row_number() over (partition by edit_id, video_id order by d desc, start_s, line) as n from f),
+    w as (
+      select distinct edit_id, unit, 0::bigint as n, []::struct(v bigint, s double, e double, d double, l bigint)[] as kept from c
+      union all
+      select c.edit_id, c.unit, c.n, case when len(list_filter(kept, lambda k: c.start_s < k.e and k.s < c.end_s)) = 0
+        then list_append(kept, {{'v': video_id, 's': start_s, 'e': end_s, 'd': d, 'l': line}}) else kept end from w join c on c.unit = w.unit and c.n = w.n + 1)
+    {_CHOSEN}""",
+)
+add(
+    "select_greedy_budget",
+    ["clips"],
+    f"""#{_FREE},
+    c as (select *, edit_id as unit, row_number() over (partition by edit_id order by d desc, start_s, video_id, line) as n from f),
+    w as (
+      select distinct edit_id, unit, 0::bigint as n, []::struct(v bigint, s double, e double, d double, l bigint)[] as kept, 40.0::double as rest from c
+      union all
+      select edit_id, unit, n, case when fits then list_append(kept, {{'v': video_id, 's': start_s, 'e': end_s, 'd': d, 'l': line}}) else kept end, case when fits then greatest(0.0, rest - d) else rest end
+      from (select c.*, kept, rest, d <= rest + 1e-9 and len(list_filter(kept, lambda k: k.v = c.video_id and c.start_s < k.e and k.s < c.end_s)) = 0 as fits
+        from w join c on c.unit = w.unit and c.n = w.n + 1))
+    {_CHOSEN}""",
+)
 LINE_ORDER = "line, source_start, case when mandatory then 0 else 1 end, video_id, source_end"
 CTE["cliprows"] = "select edit_id, video_id, start_s as source_start, end_s as source_end, mandatory, annotation_order as line from clips"
 _DEPENDS["cliprows"] = ["clips"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from ridespark.plans import quantiles
-from ridespark.plans.intervals import drop_overlapping, overlap_pairs
+from ridespark.plans.intervals import drop_overlapping, in_cells, overlap_pairs
 from ridespark.plans.ordered import halo_by_distance, halo_one_row, ordinal, running
 
 
@@ -100,7 +100,7 @@ def test_building_a_quantile_plan_runs_no_job(spark):
 @pytest.mark.parametrize("width", [1.0, 7.0, 1000.0])
 def test_overlap_pairs_once_each(spark, width):
     rng = random.Random(5)
-    span = lambda: (lambda a: (rng.randint(0, 1), a, a + rng.choice([0.5, 3.0, 40.0])))(round(rng.uniform(0, 60), 1))
+    span = lambda: (lambda a: (rng.randint(0, 1), a, a + rng.choice([0.5, 3.0, 40.0, 4000.0])))(round(rng.uniform(0, 60), 1))
     left, right = [span() for _ in range(40)], [span() for _ in range(40)]
     left, right = sorted(set(left)), sorted(set(right))
     a = spark.createDataFrame(left, "k int, s double, e double")
@@ -110,3 +110,19 @@ def test_overlap_pairs_once_each(spark, width):
     assert got == want
     free = sorted(tuple(r) for r in drop_overlapping(a, b, ["k"], ("s", "e"), ("rs", "re"), width=width).collect())
     assert free == sorted(set(left) - {w[:3] for w in want})
+
+
+def test_a_long_interval_makes_few_copies(spark):
+    df = spark.createDataFrame([(0.0, 36_000.0), (59.0, 61.0), (5.0, None)], "s double, e double")
+    copies = {r.e: r.n for r in in_cells(df, "s", "e", 60.0).groupBy("e").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(copies) == {36_000.0, 61.0} and max(copies.values()) < 40
+    assert copies[61.0] == 7  # two own cells and one of each greater width
+    own = in_cells(df, "s", "e", 60.0, above=False)
+    assert own.where("e = 36000").select("_level").distinct().collect()[0][0] == 4
+
+
+def test_running_minimum(spark):
+    rows = [(k, float(t), (t * 37 + k) % 11) for k in range(3) for t in range(40)]
+    df = spark.createDataFrame(rows, "k int, t double, x long")
+    got = {(r.k, r.t): r.m for r in running(df, ["k"], F.col("t"), 6.0, [F.col("t")], {"m": ("min", F.col("x"))}).collect()}
+    assert got == {(k, t): min((x for j, u, x in rows if j == k and u < t), default=None) for k, t, _ in rows}

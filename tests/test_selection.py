@@ -127,14 +127,14 @@ def test_budget(spark):
     assert choose(spark, [cand(0, 4, 0.8)], [(2, 0, 8)], budget=5) == []
 
 
-@pytest.mark.parametrize("batch", [1, 3, 1000])
+@pytest.mark.parametrize("head,width", [(20_000, 8.0), (3, 7.0), (1, 1.0)])
 @pytest.mark.parametrize("budget", [None, 60.0])
-def test_greedy_brute_force(spark, batch, budget):
+def test_greedy_brute_force(spark, head, width, budget):
     rng = random.Random(11)
     cands = []
     for i in range(60):
         a = round(rng.uniform(0, 60), 1)
-        cands.append(cand(a, a + rng.choice([3.0, 5.0, 9.0]), rng.choice([0.1, 0.5, 0.9]), video=rng.randint(1, 2), mean=i / 100, order=i))
+        cands.append(cand(a, a + rng.choice([3.0, 5.0, 9.0, 40.0]), rng.choice([0.1, 0.5, 0.9]), video=rng.randint(1, 2), mean=i / 100, order=i))
     kept, left = [], budget
     for c in sorted(cands, key=lambda c: (-c[6], -len(c[8]), -c[7], -c[5], c[2], c[3], c[1], c[9])):
         if any(k[1] == c[1] and c[3] < k[4] and k[3] < c[4] for k in kept):
@@ -143,7 +143,37 @@ def test_greedy_brute_force(spark, batch, budget):
             continue
         kept.append(c)
         left = None if left is None else max(0.0, left - c[5])
-    assert sorted(choose(spark, cands, budget=budget, batch=batch, width=7.0)) == sorted((c[1], c[3], c[4]) for c in kept)
+    assert sorted(choose(spark, cands, budget=budget, head=head, width=width)) == sorted((c[1], c[3], c[4]) for c in kept)
+
+
+@pytest.mark.parametrize("head", [2, 20_000])
+def test_greedy_skips_one_after_the_other(spark, head):
+    """Every second candidate is too long for what is left, and frees one that it overlapped."""
+    cands, start = [], 0.0
+    for i, length in enumerate([5.0, 16.0, 4.0, 12.0, 3.0, 9.0, 2.0]):
+        cands.append(cand(start, start + length, 100 - 2 * i))
+        cands.append(cand(start + 0.5, start + 1.5, 99 - 2 * i - 50))
+        start += 30
+    got = choose(spark, cands, budget=20.0, head=head)
+    kept, left = [], 20.0
+    for c in sorted(cands, key=lambda c: -c[6]):
+        if c[5] <= left + 1e-9 and not any(c[3] < k[4] and k[3] < c[4] for k in kept):
+            kept.append(c)
+            left -= c[5]
+    assert sorted(got) == sorted((1, c[3], c[4]) for c in kept)
+
+
+def test_rounds_follow_the_longest_chain(spark, monkeypatch):
+    """Many candidates in few places end after few rounds, whatever their number."""
+    from ridespark.operators import selection as module
+
+    rounds = []
+    ahead = module._alone_ahead
+    monkeypatch.setattr(module, "_alone_ahead", lambda *a: rounds.append(1) or ahead(*a))
+    rng = random.Random(3)
+    cands = [cand(60.0 * place, 60.0 * place + rng.uniform(20, 25), rng.random(), order=i) for i, place in enumerate(list(range(40)) * 30)]
+    got = choose(spark, cands, head=1)
+    assert len(got) == 40 and len(rounds) <= 6
 
 
 def test_timeline(spark):

@@ -171,6 +171,38 @@ def test_covering(spark, rows):
     assert rows(store.find_covering(tail, e, window=4.0, stride=2.0, bucket=8.0)) == [("r5", "e2", False)]
 
 
+@pytest.mark.parametrize("n", [1, 7, 300])
+def test_covering_brute_force(spark, n):
+    rng = random.Random(n)
+    span = lambda longest: (lambda a: (float(a), float(a + rng.randint(1, longest))))(rng.randint(0, 40))
+    entries = [(f"e{i:03}", "k", rng.choice("st"), *span(30)) for i in range(n)] + [("e999", "k", "s", None, 9.0)]
+    wants = [(i, "k", rng.choice("stu"), *span(8)) for i in range(n)] + [(-1, "k", "s", None, 3.0)]
+    e = spark.createDataFrame(entries, "entry_id string, contract_key string, source string, start_s double, end_s double")
+    q = spark.createDataFrame(wants, "request_id long, contract_key string, source string, start_s double, end_s double")
+    want = {}
+    for i, _, source, a, b in wants[:-1]:
+        fits = [((x, y) != (a, b), y - x, name) for name, _, s, x, y in entries[:-1] if s == source and x <= a and y >= b]
+        if fits:
+            want[i] = (min(fits)[2], not min(fits)[0])
+    got = {r.request_id: (r.entry_id, r.exact) for r in store.find_covering(q, e, bucket=8.0).collect()}
+    assert got == want
+
+
+def test_covering_search_makes_no_pairs(spark):
+    """10,000 requests and 10,000 entries in one place: rows grow by a logarithm."""
+    n = 10_000
+    e = spark.range(n).selectExpr("id as entry_id", "'k' as contract_key", "'s' as source", "id / 1e4 as start_s", "30 + (id * 7919 % 10000) / 1e3 as end_s")
+    q = spark.range(n).selectExpr("id as request_id", "'k' as contract_key", "'s' as source", "1 + id / 1e4 as start_s", "20 + (id % 977) / 50 as end_s")
+    out = store.find_covering(q, e)
+    starts, ends = [i / 1e4 for i in range(n)], [30 + (i * 7919 % 10000) / 1e3 for i in range(n)]
+    got = {r.request_id: r.entry_id for r in out.collect()}
+    for i in range(0, n, 501):
+        a, b = 1 + i / 1e4, 20 + (i % 977) / 50
+        fits = [(y - x, j) for j, (x, y) in enumerate(zip(starts, ends)) if x <= a + 1e-6 and y >= b - 1e-6]
+        assert got.get(i) == (min(fits)[1] if fits else None)
+    assert "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().toString()
+
+
 def test_retention(spark):
     cat = spark.createDataFrame([("a.parquet", True), ("b.parquet", True), ("c.parquet", False)], "path string, valid boolean")
     plan, issues = store.retention_plan(cat, spark.createDataFrame([("a.parquet",)], "path string"))
