@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,34 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return current.get()
 
 
+_scopes: list[list[str]] = []
+
+
+def note_table(path: str) -> None:
+    """Remember an intermediate table for the innermost open `scratch`."""
+    if _scopes:
+        _scopes[-1].append(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; what is to stay is written by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            drop_table(spark, path)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write `df` once, as Parquet below the checkpoint folder, and read it from there.
 
@@ -49,4 +79,5 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_folder(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    note_table(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
