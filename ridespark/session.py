@@ -46,7 +46,7 @@ _scopes: list[list[str]] = []
 
 
 def note_table(path: str) -> None:
-    """Remember an intermediate table for the innermost open `scratch`."""
+    """Tell the innermost open `noted_tables` of an intermediate table."""
     if _scopes:
         _scopes[-1].append(path)
 
@@ -58,16 +58,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside are deleted at the end; what is to stay is written by then."""
-    paths: list[str] = []
-    _scopes.append(paths)
+def noted_tables() -> Iterator[list[str]]:
+    """Collects the places of the intermediate tables that are written inside."""
+    _scopes.append([])
     try:
-        yield
+        yield _scopes[-1]
     finally:
         _scopes.pop()
-        for path in paths:
-            drop_table(spark, path)
 
 
 def freeze(df: DataFrame) -> DataFrame:
