@@ -12,7 +12,7 @@ from ..session import freeze
 from .normalize import zscore
 from .ranking import best_per_bounds
 from .segments import merge_ranges, ranked_segments
-from .selection import EDIT, candidate_order, first_request, mandatory_clips, pad_and_clamp, select_greedy, video_order
+from .selection import EDIT, candidate_order, first_request, mandatory_clips, pad_and_clamp, select_greedy, unprobed, video_order
 from .signals import engineered_signals
 from .telemetry import window_rms
 from .timeline import assemble_timeline, synchronize
@@ -36,12 +36,12 @@ class EditSettings:
     max_synced_clip: float = 0.0
 
 
-def samples_of_requests(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5, bucket: float = 60.0) -> DataFrame:
-    """The stored samples of each optional request, numbered from the first one inside it.
+#: A sample belongs to the nearest step of its request's grid if it lies within this share of a step.
+NEAR_STEP = 0.45
 
-    A request may start anywhere, also off the lattice of its video's samples; its own grid
-    then starts at its first sample. Requests are spread over time buckets.
-    """
+
+def _inside_requests(clips: DataFrame, samples: DataFrame, dt: float, bucket: float) -> DataFrame:
+    """Samples inside optional requests with `_step`, the nearest step from the request's first sample, and `_off`, how far it is (in steps)."""
     asked = clips.where(~F.col("mandatory")).select(*REQUEST, "start_s", "end_s")
     at = lambda x: F.floor(x / bucket).cast("long")
     spread = asked.withColumn("_b", F.explode(F.sequence(at(F.col("start_s")), at(F.col("end_s")))))
@@ -51,12 +51,30 @@ def samples_of_requests(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5
     )
     first = inside.groupBy(*REQUEST).agg(F.min("t").alias("_first"))
     n = (F.col("t") - F.col("_first")) / dt
-    return (
-        inside.join(first, list(REQUEST))
-        .where(F.abs(n - F.round(n)) <= 1e-6)
-        .withColumn("sample_idx", F.round(n).cast("int"))
-        .drop("_b", "start_s", "end_s", "_first")
-    )
+    rows = inside.join(first, list(REQUEST)).withColumns({"_step": F.round(n).cast("int"), "_off": F.abs(n - F.round(n))})
+    return rows.drop("_b", "start_s", "end_s", "_first")
+
+
+def samples_of_requests(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5, bucket: float = 60.0) -> DataFrame:
+    """The stored samples of each optional request, numbered from the first one inside it.
+
+    A request may start anywhere, also off the lattice of its video's samples; its own grid
+    then starts at its first sample, and every sample goes to the nearest step. Of several near one
+    step the nearest stays; the others, and those between steps, are in `left_out_samples`. Requests
+    are spread over time buckets.
+    """
+    rows = _inside_requests(clips, samples, dt, bucket).where(F.col("_off") <= NEAR_STEP)
+    names = [c for c in rows.columns if c not in (*REQUEST, "_step")]
+    best = rows.groupBy(*REQUEST, "_step").agg(F.min_by(F.struct(*names), F.struct("_off", "t")).alias("_s"))
+    return best.select(*REQUEST, F.col("_step").alias("sample_idx"), "_s.*").drop("_off")
+
+
+def left_out_samples(clips: DataFrame, samples: DataFrame, *, dt: float = 0.5, bucket: float = 60.0) -> DataFrame:
+    """Per optional request with samples that its grid has no place for: how many are inside and how many of them are used."""
+    rows = _inside_requests(clips, samples.select("video_id", "t"), dt, bucket)
+    near = F.countDistinct(F.when(F.col("_off") <= NEAR_STEP, F.col("_step")))
+    counts = rows.groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("inside"), near.alias("used"))
+    return counts.where("used < inside")
 
 
 def unserved(clips: DataFrame, scored: DataFrame) -> DataFrame:
@@ -109,11 +127,14 @@ def score_requests(
 
 
 def candidates_of(scored: DataFrame, clips: DataFrame, videos: DataFrame, settings: EditSettings = EditSettings()) -> DataFrame:
-    """Pool the windows of an edit's requests per video, keep the best, merge, pad, and find their line."""
+    """Pool the windows of an edit's requests per video, keep the best, merge, pad, and find their line.
+
+    Windows of a video without a known length give no candidate (`EditPlan.unprobed`).
+    """
     per_video = (EDIT, "video_id")
     pooled = best_per_bounds(scored, keys=per_video)
     segments = ranked_segments(pooled, k=settings.top_windows, gap=settings.max_gap, keys=per_video, tie=("end_s",))
-    padded = pad_and_clamp(segments, videos, min_clip=settings.min_clip, padding=settings.padding)
+    padded = pad_and_clamp(segments, videos, min_clip=settings.min_clip, padding=settings.padding, strict=False)
     asked = clips.where(~F.col("mandatory"))
     lined = first_request(padded, asked)
     return lined.join(video_order(clips), [EDIT, "video_id"]).select(
@@ -137,6 +158,10 @@ class EditPlan:
     timeline: DataFrame
     #: optional requests too short for a window, or without samples or telemetry
     unserved: DataFrame
+    #: optional requests with samples off their grid, and how many of theirs were used
+    left_out: DataFrame
+    #: scored windows of videos without a known length
+    unprobed: DataFrame
 
 
 def plan_edits(
@@ -165,7 +190,8 @@ def plan_edits(
         timeline = synchronize(
             timeline, events, tracks, edits, mode=settings.sync_mode, max_synced=settings.max_synced_clip
         )
-    return EditPlan(candidates, selected, timeline, unserved(clips, scored))
+    off_grid = left_out_samples(clips, samples, dt=settings.dt)
+    return EditPlan(candidates, selected, timeline, unserved(clips, scored), off_grid, unprobed(scored, videos))
 
 
 def processing_ranges(clips: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def interest_channels(
     rows = rows.withColumn(
         "_combined", F.col("gate_motion") * (0.5 * F.col("score_tech") + 0.5 * F.col("score_maneuver"))
     )
+    rows = freeze(rows.select(*keys, "sample_idx", "t", "_combined", *[c for c in CHANNELS if c != "score_final"]))
     bounds = exact_quantiles(rows, keys, {"_q_final": F.col("_combined")}, [0.05, 0.95])
     final = unit_scale(F.col("_combined"), F.col("_q_final")[0], F.col("_q_final")[1])
     return join_on(rows, bounds, keys).withColumn("score_final", final).select(*keys, "sample_idx", "t", *CHANNELS)

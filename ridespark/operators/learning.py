@@ -12,6 +12,8 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -79,14 +81,19 @@ def training_table(
     """Features, normalized over all windows of a video, then labelled. Written once.
 
     The order matters: scoring has no labels, so its normalization sees all windows too,
-    those without telemetry included. Such windows then fail the job if `strict`; else they are
-    left out of the table, and `without_telemetry` lists them.
+    those without telemetry included. Such windows, and videos that the manifest does not list,
+    then fail the job if `strict`; else they are left out of the table, and `without_telemetry` and
+    `ranking.unlisted` list them.
     """
     rows = feature_windows(samples, pitch, window=window, stride=stride, dt=dt, offset=offset)
     rows = freeze(rows)  # read for the statistics, the scaling and the labels
     scaled = _with_telemetry(zscore(rows, list(names)), strict)
     labelled = label_windows(scaled, annotations)
-    return freeze(labelled.join(manifest.select("video_id", "group_id"), "video_id"))
+    groups = manifest.select("video_id", "group_id")
+    if not strict:
+        return freeze(labelled.join(groups, "video_id"))
+    missing = F.raise_error(F.lit("a labelled video is not in the manifest")).cast("string")
+    return freeze(labelled.join(groups, "video_id", "left").withColumn("group_id", F.coalesce("group_id", missing)))
 
 
 @dataclass(frozen=True)
@@ -294,12 +301,18 @@ class SavedRanker:
 
 
 def score_windows(ranker: SavedRanker, windows: DataFrame) -> DataFrame:
-    """Ids and score of every window, normalized per video when the ranker was trained that way."""
+    """Ids and score of every window, normalized per video when the ranker was trained that way.
+
+    A window without one of the features (no telemetry) counts in the normalization of the others
+    and has no score.
+    """
     require_columns(windows, ranker.names)
     rows = windows
     if ranker.settings.get("feature_normalization") == NORMALIZED:
         rows = zscore(rows, list(ranker.names))
-    return ranker.model.transform(rows).select(*IDS, F.col("score").cast("double").alias("score"))
+    whole = reduce(and_, [F.col(n).isNotNull() for n in ranker.names])
+    scored = ranker.model.transform(rows.where(whole)).select(*IDS, F.col("score").cast("double").alias("score"))
+    return scored.unionByName(rows.where(~whole).select(*IDS, F.lit(None).cast("double").alias("score")))
 
 
 # -- validation -------------------------------------------------------------

@@ -74,10 +74,11 @@ REPORT_COLUMNS = (
 def score_report(scores: DataFrame, manifest: DataFrame, *, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Every scored window with its ranks and its video's range, and the summary per video.
 
-    The two results are tables to be ordered and written by `sources.sinks`.
+    The two results are tables to be ordered and written by `sources.sinks`. A video that the manifest
+    does not list stays, without a group (see `unlisted`).
     """
-    groups = manifest.select(*keys, "group_id")
-    summary = score_summary(scores, keys=keys).join(groups, list(keys))
+    groups = manifest.select(*keys, "group_id").dropDuplicates(list(keys))
+    summary = score_summary(scores, keys=keys).join(groups, list(keys), "left")
     ranked = rank_in_key(rank_global(scores, keys=keys), keys=keys)
     per_key = summary.select(*keys, "group_id", "score_min", "score_max", "score_range", "window_count")
     rows = ranked.join(per_key, list(keys)).withColumns(
@@ -90,6 +91,16 @@ def score_report(scores: DataFrame, manifest: DataFrame, *, keys: Sequence[str]
     return rows.select(*REPORT_COLUMNS), summary
 
 
+def unlisted(scores: DataFrame, manifest: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Findings: keys with rows in `scores` and none in the manifest, and how many rows."""
+    return (
+        scores.join(manifest.select(*keys), list(keys), "left_anti")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumns({"severity": F.lit("error"), "code": F.lit("not_in_manifest")})
+    )
+
+
 def best_per_bounds(scores: DataFrame, *, keys: Sequence[str] = KEYS, digits: int = 6) -> DataFrame:
     """Windows with the same rounded bounds once, with the highest score."""
     return scores.groupBy(

@@ -182,7 +182,7 @@ def vehicle_motion(
         rows, "_a", tuple(F.when(complete, F.col(f"a{c}").cast("double") * F.col("unit_scale")) for c in "xyz")
     )
     q, acc = R.named("_q", "wxyz"), R.named("_a")
-    rows = R.keep(rows, "_w", R.rotate(q, acc))
+    rows = freeze(R.keep(rows, "_w", R.rotate(q, acc)))  # read for the medians, the counts and the motion
     pull = _upper_medians(rows, {f"_g{c}": F.col(f"_w{c}") for c in "xyz"}, keys)
     enough = rows.groupBy(*keys).agg(F.count("_wx").alias("_nw")).where(F.col("_nw") >= 10)
     rows = rows.join(pull.join(enough, keys).drop("_nw"), keys, "left")

@@ -2,7 +2,8 @@
 
 A mergeable sketch brackets every wanted rank; what lies below a bracket is one counter, and only the
 values inside the brackets (a share of about 8/accuracy of the key) are ordered. Nothing is counted
-beforehand, so building the plan runs no job. Keys whose groups are bounded by construction (a
+beforehand, so building the plan runs no job; it reads its input twice, so what is dear to compute is
+written before. Keys whose groups are bounded by construction (a
 window, a frame) may say so and get Spark's `percentile`, which gives the same values.
 """
 
@@ -61,21 +62,21 @@ def _bracketed(base, keys, names, probs, upper, accuracy) -> DataFrame:
     long = base.select(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).alias("_v")) for n in names])).alias("_e"),
-    ).select(*keys, "_e._name", "_e._v").where(F.col("_v").isNotNull())
+    ).select(*keys, "_e._name", "_e._v")
     long = long.withColumns({"_nan": F.isnan("_v"), "_v": F.when(F.isnan("_v"), F.lit(float("inf"))).otherwise(F.col("_v"))})
     group = [*keys, "_name"]
 
     slack = 4.0 / accuracy
     cuts = [c for p in probs for c in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count("_v").alias("_n"),
         F.count_if("_nan").alias("_nans"),
         F.percentile_approx("_v", cuts, accuracy).alias("_cut"),
     )
     at = lambda p: F.floor(F.col("_n") / 2) if upper else F.lit(float(p)) * (F.col("_n") - 1)
     # in a small group the two neighbouring ranks may lie outside the cuts: its bracket is the group
     wide = F.col("_n") * slack < 3
-    wanted = sketch.select(
+    wanted = sketch.where("_n > 0").select(
         *group,
         F.explode(
             F.array(
@@ -110,9 +111,8 @@ def _bracketed(base, keys, names, probs, upper, accuracy) -> DataFrame:
         F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("sketch bracket missed a rank; raise accuracy"))
     ).otherwise(F.when(low == high, a).otherwise((high - F.col("_at")) * a + (F.col("_at") - low) * b))
     rows = picked.select(*group, "_i", value.cast("double").alias("_q"))
-    arrays = rows.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("_q")
-    )
-    found = arrays.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
-    # keys without any value keep their row
-    return join_on(base.select(*keys).distinct(), found, keys, "left") if keys else found
+    # keys without any value keep their row: the sketch has it
+    every = rows.unionByName(sketch.select(*group), allowMissingColumns=True)
+    one = lambda n, i: F.max(F.when((F.col("_name") == n) & (F.col("_i") == i), F.col("_q")))
+    some = lambda n: F.count(F.when(F.col("_name") == n, F.col("_q"))) > 0
+    return every.groupBy(*keys).agg(*[F.when(some(n), F.array(*[one(n, i) for i in range(len(probs))])).alias(n) for n in names])

@@ -317,7 +317,9 @@ add(
     select video_id, {r('dt')} as dt, {r('min(t)')} as first_t, {r('max(t)')} as last_t, count(*) as n_samples,
       round(4.0 / dt)::int as rows_per_window, round(2.0 / dt)::int as rows_per_stride,
       (case when max(t) - min(t) + dt - 4.0 < -1e-9 then 0 else least(floor((max(t) - min(t) + dt - 4.0 + 1e-9) / 2.0) + 1,
-        floor((count(*) - round(4.0 / dt)) / round(2.0 / dt)) + 1) end)::bigint as n_windows
+        floor((count(*) - round(4.0 / dt)) / round(2.0 / dt)) + 1) end)::bigint as n_windows,
+      case when dt is null then 'too_few_samples' when abs(4.0 / dt - round(4.0 / dt)) > 1e-6 then 'window_off_lattice' when abs(2.0 / dt - round(2.0 / dt)) > 1e-6 then 'stride_off_lattice'
+        when round(4.0 / dt) < 2 then 'window_too_short' when max(t) - min(t) + dt - 4.0 < -1e-9 or count(*) < round(4.0 / dt) then 'sequence_too_short' end as issue
     from samples join d using (video_id) group by video_id, dt""",
 )
 STAT_COLUMNS = [c for c in FEATURE_COLUMNS if c != "pitch_rate_rms"]
@@ -919,7 +921,8 @@ add("sequence_audit", ["samples"], _audit())
 add(
     "sequence_validity",
     ["samples"],
-    f"select video_id, count(*) as rows, {r('min(t)')} as first_t, {r('max(t)')} as last_t, count(*) >= 2 as valid from samples group by video_id",
+    f"select video_id, count(*) as rows, {r('min(t)')} as first_t, {r('max(t)')} as last_t, count(*) >= 2 as valid, "
+    "case when count(*) < 2 then 'too_few_rows' when count(*) filter (where not isfinite(t)) > 0 then 'not_finite' end as issue from samples group by video_id",
 )
 add(
     "window_audit",
@@ -1093,8 +1096,9 @@ add("annotation_lists", ["annotations"], "select 'lists/' || video_id::varchar |
 add(
     "annotation_list_findings",
     ["annotations"],
-    """#f as (select 'lists/' || video_id::varchar || '.txt' as file, case score when 2 then 'end_before_start' else 'too_few_fields' end as code from annotations where score in (1, 2))
-    select file, code, count(*) as n from f group by all""",
+    """#f as (select 'lists/' || video_id::varchar || '.txt' as file, case score when 2 then 'end_before_start' else 'too_few_fields' end as code from annotations where score in (1, 2)),
+    g as (select video_id, start_s, lag(end_s) over (partition by video_id order by start_s) as before from annotations where score in (0, 3))
+    select file, code, count(*) as n from (select * from f union all select 'lists/' || video_id::varchar || '.txt', 'not_contiguous' from g where before <> start_s) group by all""",
 )
 add(
     "scanned_lists",

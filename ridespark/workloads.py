@@ -139,7 +139,7 @@ def flow_grid(spark, folder):
 @query
 def sampling_grid(spark, folder):
     grid = windows.sampling_grid(A.samples(spark, folder), window=WINDOW, stride=STRIDE)
-    return rounded(grid.drop("issue"))
+    return rounded(grid)
 
 
 @query
@@ -695,7 +695,7 @@ def train_ranker(spark, folder):
     ranker, _ = learning.train_ranker(
         table, train=["g0", "g1"], validation=["g2"], settings=learning.RankerSettings(iterations=4, max_depth=3)
     )
-    raw = learning.feature_windows(A.samples(spark, folder), A.rates(spark, folder)).where(F.col("pitch_rate_rms").isNotNull())
+    raw = learning.feature_windows(A.samples(spark, folder), A.rates(spark, folder))
     return rounded(learning.score_windows(ranker, raw))
 
 
@@ -761,7 +761,7 @@ def sequence_audit(spark, folder):
 
 @query
 def sequence_validity(spark, folder):
-    return rounded(audit.sequence_validity(A.samples(spark, folder)).drop("issue"))
+    return rounded(audit.sequence_validity(A.samples(spark, folder)))
 
 
 @query
@@ -1006,7 +1006,7 @@ def annotation_list_findings(spark, folder):
         "line", F.when(F.col("line").endswith(" 2"), F.lit("00:10 00:05 2")).when(F.col("line").endswith(" 1"), F.lit("00:10 xx")).otherwise(F.col("line"))
     )
     _, _, issues = lists.parse_training_annotations(broken)
-    return issues.where("code != 'not_contiguous'").groupBy("file", "code").agg(F.count(F.lit(1)).alias("n"))
+    return issues.groupBy("file", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

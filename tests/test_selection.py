@@ -176,6 +176,26 @@ def test_rounds_follow_the_longest_chain(spark, monkeypatch):
     assert len(got) == 40 and len(rounds) <= 6
 
 
+def test_a_shifted_grid_is_used_or_reported(spark):
+    """Samples of a request whose recording shifts: near a step they are used, between steps they are counted."""
+    times = [0.5 * i for i in range(1, 11)] + [0.5 * i + 0.1 for i in range(11, 21)] + [0.5 * i + 0.25 for i in range(21, 31)] + [15.6, 15.55]
+    samples = spark.createDataFrame([(1, t, 1.0) for t in times], "video_id long, t double, flow_u double")
+    clips = spark.createDataFrame([(0, 1, 0.0, 100.0, False, 1), (0, 1, 0.0, 4.0, False, 2), (0, 1, 0.0, 4.0, True, 3)], CLIP)
+    used = edits.samples_of_requests(clips, samples).where("annotation_order = 1").orderBy("sample_idx").collect()
+    assert [r.sample_idx for r in used] == [*range(20), 30] and used[-1].t == 15.55
+    report = edits.left_out_samples(clips, samples).collect()
+    assert [(r.annotation_order, r.inside, r.used) for r in report] == [(1, 32, 21)]
+
+
+def test_videos_without_a_manifest_row_stay(spark):
+    w = windows_of(spark, [(0, 2), (2, 4)], [0.5, 2.0]).unionByName(windows_of(spark, [(0, 2)], [9.0], video=7))
+    manifest = spark.createDataFrame([(0, "g")], "video_id long, group_id string")
+    rows_, summary = ranking.score_report(w, manifest)
+    assert sorted((r.rank_global, r.video_id, r.group_id) for r in rows_.collect()) == [(1, 7, None), (2, 0, "g"), (3, 0, "g")]
+    assert summary.count() == 2
+    assert [tuple(r) for r in ranking.unlisted(w, manifest).collect()] == [(7, 1, "error", "not_in_manifest")]
+
+
 def test_timeline(spark):
     chosen = spark.createDataFrame([cand(5, 9, 0.9, video=1, order=1), cand(0, 4, 0.5, video=2, order=3)], CAND)
     fixed = spark.createDataFrame([(0, 1, 1.0, 3.0, True, 2)], CLIP)
