@@ -11,7 +11,7 @@ import itertools
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from operator import and_
 
@@ -146,22 +146,22 @@ def require_preferences(table: DataFrame) -> None:
 class RankerSettings:
     """Settings of the boosted ranker, in the names of Spark's gradient-boosted trees."""
 
-    iterations: int = 20
-    learning_rate: float = 0.1
+    max_iter: int = 20
+    step_size: float = 0.1
     max_depth: int = 4
-    min_rows_per_leaf: int = 5
-    min_split_gain: float = 0.0
-    row_fraction: float = 0.8
-    feature_fraction: float = 0.8
+    min_instances_per_node: int = 5
+    min_info_gain: float = 0.0
+    subsampling_rate: float = 0.8
+    feature_subset: float = 0.8
     seed: int = 42
 
     def __post_init__(self) -> None:
-        if self.iterations < 1 or self.max_depth < 1 or self.min_rows_per_leaf < 1:
-            raise ValueError("iterations, max_depth and min_rows_per_leaf must be positive")
-        if not 0 < self.learning_rate <= 1 or not 0 < self.row_fraction <= 1 or not 0 < self.feature_fraction <= 1:
+        if self.max_iter < 1 or self.max_depth < 1 or self.min_instances_per_node < 1:
+            raise ValueError("numbers of trees, levels and rows must be positive")
+        if not 0 < self.step_size <= 1 or not 0 < self.subsampling_rate <= 1 or not 0 < self.feature_subset <= 1:
             raise ValueError("rates and fractions lie in (0, 1]")
-        if self.min_split_gain < 0:
-            raise ValueError("min_split_gain must not be negative")
+        if self.min_info_gain < 0:
+            raise ValueError("the least gain must not be negative")
 
 
 def fit_boosted(
@@ -175,13 +175,13 @@ def fit_boosted(
         featuresCol="features",
         labelCol="target",
         predictionCol="score",
-        maxIter=settings.iterations,
-        stepSize=settings.learning_rate,
+        maxIter=settings.max_iter,
+        stepSize=settings.step_size,
         maxDepth=settings.max_depth,
-        minInstancesPerNode=settings.min_rows_per_leaf,
-        minInfoGain=settings.min_split_gain,
-        subsamplingRate=settings.row_fraction,
-        featureSubsetStrategy=str(float(settings.feature_fraction)),
+        minInstancesPerNode=settings.min_instances_per_node,
+        minInfoGain=settings.min_info_gain,
+        subsamplingRate=settings.subsampling_rate,
+        featureSubsetStrategy=str(float(settings.feature_subset)),
         seed=settings.seed,
     )
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
@@ -371,85 +371,103 @@ def train_ranker(
     probe = fit_boosted(split.train, settings, names)
     history = recall_per_iteration(probe, split.validation, k=k)
     known = [(r, -i) for i, r in history if r is not None]
-    best = -max(known)[1] if known else settings.iterations
-    final = fit_boosted(table, RankerSettings(**{**settings.__dict__, "iterations": best}), names)
+    best = -max(known)[1] if known else settings.max_iter
+    final = fit_boosted(table, RankerSettings(**{**settings.__dict__, "max_iter": best}), names)
     info = {**effective_settings(data_settings), "feature_normalization": NORMALIZED}
     return SavedRanker(final, info, tuple(names)), {"best_iteration": best, "history": history}
 
 
 # -- search over settings ---------------------------------------------------
 
-# ranges for Spark's boosted trees: shallow to middling, from the slow rates that need many
-# iterations to the fast ones that few allow, with and without sampling of rows and features
-SEARCH_SPACE = {
-    "learning_rate": {"low": 0.02, "high": 0.3, "log": True},
-    "max_depth": {"low": 2, "high": 7},
-    "min_rows_per_leaf": {"choices": [1, 5, 25, 125]},
-    "feature_fraction": {"choices": [0.25, 0.5, 1.0]},
-    "row_fraction": {"low": 0.5, "high": 1.0, "step": 0.125},
-    "min_split_gain": {"choices": [0.0, 0.001, 0.01]},
+
+@dataclass(frozen=True)
+class Choice:
+    """One of some values, each as likely as the others."""
+
+    values: tuple
+
+    def __post_init__(self) -> None:
+        if not self.values:
+            raise ValueError("a choice needs values")
+
+    def draw(self, rng: np.random.Generator):
+        return self.values[rng.integers(len(self.values))]
+
+
+@dataclass(frozen=True)
+class Span:
+    """A real number between two bounds, or a multiple of `step` above the lower one. Evenly spread in `scale`."""
+
+    low: float
+    high: float
+    step: float | None = None
+    scale: str = "linear"
+
+    def __post_init__(self) -> None:
+        if not -math.inf < self.low <= self.high < math.inf:
+            raise ValueError("a span runs from a finite bound up to another")
+        if self.scale not in ("linear", "log"):
+            raise ValueError("the scale is linear or log")
+        if self.scale == "log" and (self.low <= 0 or self.step):
+            raise ValueError("a log scale has positive bounds and no step")
+        if self.step is not None and self.step <= 0:
+            raise ValueError("a step is positive")
+
+    def draw(self, rng: np.random.Generator) -> float:
+        if self.step:
+            return self.low + self.step * int(rng.integers(math.floor((self.high - self.low) / self.step + 1e-9) + 1))
+        if self.scale == "log":
+            return float(np.exp(rng.uniform(*np.log((self.low, self.high)))))
+        return float(rng.uniform(self.low, self.high))
+
+
+@dataclass(frozen=True)
+class Whole:
+    """A whole number between two bounds, both included."""
+
+    low: int
+    high: int
+
+    def __post_init__(self) -> None:
+        if int(self.low) != self.low or int(self.high) != self.high or self.low > self.high:
+            raise ValueError("whole numbers in ascending order")
+
+    def draw(self, rng: np.random.Generator) -> int:
+        return int(rng.integers(self.low, self.high, endpoint=True))
+
+
+#: Shallow to middling trees, from step sizes that need many trees to those that few allow.
+DEFAULT_SPACE = {
+    "max_depth": Whole(2, 7),
+    "step_size": Span(0.02, 0.3, scale="log"),
+    "subsampling_rate": Span(0.5, 1.0, step=0.125),
+    "feature_subset": Choice((0.25, 0.5, 1.0)),
+    "min_instances_per_node": Choice((1, 5, 25, 125)),
+    "min_info_gain": Choice((0.0, 0.001, 0.01)),
 }
-_WHOLE = {"iterations", "max_depth", "min_rows_per_leaf", "seed"}
-
-
-def search_space(overrides: Mapping | None = None) -> dict[str, dict]:
-    """The default space with checked overrides: a value, or fixed / choices / low+high(+log, step)."""
-    space = {n: dict(s) for n, s in SEARCH_SPACE.items()}
-    allowed = set(RankerSettings.__dataclass_fields__) - {"seed"}
-    for name, given in (overrides or {}).items():
-        if name not in allowed:
-            raise ValueError(f"unknown search parameter {name!r}")
-        spec = dict(given) if isinstance(given, Mapping) else {"fixed": given}
-        kind = set(spec)
-        if "fixed" in kind or "choices" in kind:
-            if len(kind) != 1:
-                raise ValueError(f"{name}: fixed and choices stand alone")
-            if "choices" in kind and not spec["choices"]:
-                raise ValueError(f"{name}: choices must not be empty")
-        else:
-            if not {"low", "high"} <= kind or kind - {"low", "high", "log", "step"}:
-                raise ValueError(f"{name}: give low and high, with log or step if wanted")
-            low, high = float(spec["low"]), float(spec["high"])
-            if not (math.isfinite(low) and math.isfinite(high)) or low > high:
-                raise ValueError(f"{name}: low and high must be finite and in order")
-            if spec.get("log") and (low <= 0 or "step" in spec):
-                raise ValueError(f"{name}: a log scale needs low > 0 and no step")
-            if "step" in spec and not float(spec["step"]) > 0:
-                raise ValueError(f"{name}: step must be positive")
-            if name in _WHOLE and not (low.is_integer() and high.is_integer()):
-                raise ValueError(f"{name}: bounds must be whole numbers")
-        space[name] = spec
-    return space
-
-
-def draw_trials(space: Mapping[str, Mapping], n: int, *, seed: int = 42) -> list[dict]:
+
+
+def search_space(**changes) -> dict[str, Choice | Span | Whole]:
+    """The default space with some settings changed: to a choice, a span, whole numbers, or one fixed value."""
+    known = {f.name: f.type for f in fields(RankerSettings)}
+    for name, value in changes.items():
+        if name not in known or name == "seed":
+            raise ValueError(f"the ranker has no setting {name!r} to search over")
+        if isinstance(value, Span) and known[name] == "int":
+            raise ValueError(f"{name} takes whole numbers")
+    fixed = {n: v if isinstance(v, (Choice, Span, Whole)) else Choice((v,)) for n, v in changes.items()}
+    return DEFAULT_SPACE | fixed
+
+
+def draw_trials(space: Mapping[str, Choice | Span | Whole], n: int, *, seed: int = 42) -> list[dict]:
     """Seeded random draws from a search space."""
     rng = np.random.default_rng(seed)
+    return [{name: kind.draw(rng) for name, kind in space.items()} for _ in range(n)]
+
 
-    def draw(name: str, spec: Mapping):
-        if "fixed" in spec:
-            return spec["fixed"]
-        if "choices" in spec:
-            return spec["choices"][int(rng.integers(len(spec["choices"])))]
-        low, high = float(spec["low"]), float(spec["high"])
-        if spec.get("log"):
-            value = math.exp(rng.uniform(math.log(low), math.log(high)))
-        elif "step" in spec:
-            step = float(spec["step"])
-            value = low + step * int(rng.integers(int((high - low) / step + 1e-9) + 1))
-        elif name in _WHOLE:
-            value = int(rng.integers(int(low), int(high) + 1))
-        else:
-            value = rng.uniform(low, high)
-        return int(round(value)) if name in _WHOLE else value
-
-    return [{name: draw(name, spec) for name, spec in space.items()} for _ in range(n)]
-
-
-def grid_trials(space: Mapping[str, Mapping]) -> list[dict]:
-    """All combinations of a space made of fixed values and choices."""
-    options = [s.get("choices", [s.get("fixed")]) for s in space.values()]
-    return [dict(zip(space, values)) for values in itertools.product(*options)]
+def grid_trials(space: Mapping[str, Choice]) -> list[dict]:
+    """All combinations of a space made of choices."""
+    return [dict(zip(space, values)) for values in itertools.product(*(kind.values for kind in space.values()))]
 
 
 def search_ranker(

@@ -668,7 +668,7 @@ def query_sizes(spark, folder):
 @query
 def ranker_boosted(spark, folder):
     table = training(spark, folder)
-    model = learning.fit_boosted(table, learning.RankerSettings(iterations=5, max_depth=3))
+    model = learning.fit_boosted(table, learning.RankerSettings(max_iter=5, max_depth=3))
     return rounded(model.transform(table).select("video_id", "window_index", "label", "score"))
 
 
@@ -693,7 +693,7 @@ def leave_one_group_out(spark, folder):
 def train_ranker(spark, folder):
     table = training(spark, folder)
     ranker, _ = learning.train_ranker(
-        table, train=["g0", "g1"], validation=["g2"], settings=learning.RankerSettings(iterations=4, max_depth=3)
+        table, train=["g0", "g1"], validation=["g2"], settings=learning.RankerSettings(max_iter=4, max_depth=3)
     )
     raw = learning.feature_windows(A.samples(spark, folder), A.rates(spark, folder))
     return rounded(learning.score_windows(ranker, raw))
@@ -701,7 +701,7 @@ def train_ranker(spark, folder):
 
 @query
 def search_ranker(spark, folder):
-    trials = learning.draw_trials(learning.search_space({"iterations": 2, "max_depth": {"choices": [2, 3]}, "min_rows_per_leaf": 5}), 2)
+    trials = learning.draw_trials(learning.search_space(max_iter=2, max_depth=learning.Choice((2, 3)), min_instances_per_node=5), 2)
     return learning.search_ranker(training(spark, folder), trials, proxy_groups=["g0", "g1"]).select("number", r("value").alias("value"), "videos")
 
 

@@ -55,11 +55,11 @@ def test_groups_and_preferences(table):
     with pytest.raises(ValueError):
         learning.require_preferences(table.withColumn("label", F.lit(1)))
     with pytest.raises(ValueError):
-        learning.RankerSettings(iterations=0)
+        learning.RankerSettings(max_iter=0)
 
 
 def test_boosted_train_save_and_score(spark, table, tmp_path):
-    settings = learning.RankerSettings(iterations=3, max_depth=2, min_rows_per_leaf=2)
+    settings = learning.RankerSettings(max_iter=3, max_depth=2, min_instances_per_node=2)
     ranker, info = learning.train_ranker(table, train=["g0", "g1"], validation=["g2"], settings=settings, names=NAMES)
     assert 1 <= info["best_iteration"] <= 3 and len(info["history"]) == 3
     path = str(tmp_path / "m")

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -218,13 +219,20 @@ def test_settings_and_search():
     assert (s["window"], s["stride"]) == (6.0, 3.0)
     with pytest.raises(ValueError):
         learning.effective_settings({"window": -1})
-    for bad in ({"nope": 1}, {"max_depth": {"choices": []}}, {"learning_rate": {"low": 1}}, {"learning_rate": {"low": 0, "high": 1, "log": True}}, {"max_depth": {"low": 1.5, "high": 3}}, {"max_depth": {"fixed": 2, "choices": [1]}}):
+    c, span, whole = learning.Choice, learning.Span, learning.Whole
+    for bad in (
+        lambda: learning.search_space(nope=1), lambda: learning.search_space(seed=1), lambda: learning.search_space(max_depth=span(1.0, 2.0)), lambda: c(()),
+        lambda: span(1.0, math.inf), lambda: span(2.0, 1.0), lambda: span(0.0, 1.0, scale="log"), lambda: span(1.0, 2.0, step=0.5, scale="log"), lambda: span(1.0, 2.0, step=-1.0),
+        lambda: span(1.0, 2.0, scale="square"), lambda: whole(1.5, 3), lambda: whole(3, 1),
+    ):
         with pytest.raises(ValueError):
-            learning.search_space(bad)
-    space = learning.search_space({"max_depth": {"low": 2, "high": 4}, "iterations": 7})
-    a, b = learning.draw_trials(space, 5), learning.draw_trials(space, 5)
-    assert a == b and all(t["iterations"] == 7 and 2 <= t["max_depth"] <= 4 for t in a)
-    assert len(learning.grid_trials({"a": {"choices": [1, 2]}, "b": {"fixed": 3}})) == 2
+            bad()
+    space = learning.search_space(max_depth=whole(2, 4), max_iter=7)
+    a, b = learning.draw_trials(space, 50), learning.draw_trials(space, 50)
+    assert a == b and {t["max_iter"] for t in a} == {7} and {t["max_depth"] for t in a} == {2, 3, 4}
+    assert all(0.02 <= t["step_size"] <= 0.3 and t["subsampling_rate"] % 0.125 == 0 and 0.5 <= t["subsampling_rate"] <= 1 for t in a)
+    assert {t["subsampling_rate"] for t in a} >= {0.5, 1.0}
+    assert len(learning.grid_trials({"a": c((1, 2)), "b": c((3,))})) == 2
 
 
 def test_score_report_files(spark, folder, tmp_path):
