@@ -1154,3 +1154,60 @@ add(
     ["rates"],
     f"select video_id, {r('t')} as t, {r('coalesce(rate - lag(rate) over (partition by video_id order by t), 0)')} as delta from rates",
 )
+
+# -- files and findings ----------------------------------------------------------
+
+SQL["score_report_files"] = SQL["score_report"]
+
+
+def _matrix(measure: str) -> str:
+    cell = lambda n: f"case when a = '{n}' then 1.0 else max(case when b = '{n}' then v end) end::double as {n}"
+    return (
+        f"select a as signal, {', '.join(map(cell, SIGNAL_COLUMNS))}, '{measure}' as measure from "
+        f"(select signal_a as a, signal_b as b, {measure} as v from h{measure} union all select signal_b, signal_a, {measure} from h{measure}) group by a"
+    )
+
+
+SQL["correlation_files"] = f"with hpearson as ({SQL['pearson']}), hspearman as ({SQL['spearman']}) {_matrix('pearson')} union all {_matrix('spearman')}"
+SQL["telemetry_export"] = (
+    f"select m.video_id, (m.sample_idx + 1) / 2.0::double as t, {cols(['lateral', 'combined'], 5, lambda n: f'm.{n}').replace('as lateral', 'as \"lateral\"')}, g.distance_m, "
+    f"(1704067200 + m.video_id) * 1000000 + (m.sample_idx + 1) * 500000 as us from ({SQL['vehicle_motion']}) m join ({SQL['gps_track']}) g using (video_id, sample_idx)"
+).replace("m.lateral", 'm."lateral"')
+add("group_manifest", ["manifest"], "select * from manifest where group_id = 'g1'")
+SQL["split_counts"] = (
+    f"select case group_id when 'g2' then 'validation' else 'training' end as side, label, count(*) as n from ({SQL['training_table']}) group by all"
+)
+SQL["log_order"] = f"select 'all' as file, 'error' as severity, 'times_not_increasing' as code, t from ({SQL['flight_log']}) group by t having count(*) > 1"
+add("paired_fixes", ["samples"], "select video_id, sample_idx from samples where sample_idx % 3 > 0")
+add(
+    "off_lattice",
+    ["clips", "samples"],
+    """select edit_id, annotation_order from clips join (select video_id, min(t) as t0 from samples group by 1) using (video_id)
+    where not mandatory and abs((start_s - t0) * 2 - round((start_s - t0) * 2)) > 1e-6""",
+)
+SQL["unserved_requests"] = f"select edit_id, annotation_order from ({SQL['served_requests']}) where not served"
+add("unprobed_segments", ["clips", "videos"], "select annotation_order from clips where video_id not in (select video_id from videos)")
+add("windows_without_telemetry", ["rms"], "select video_id, window_index from rms where pitch_rate_rms is null")
+add(
+    "manifest_audit",
+    ["manifest", "videos", "annotations"],
+    """#a as (select video_id, start_s, case when start_s = 5 then end_s + 1 else end_s end as end_s from annotations),
+    i as (
+      select 'error' as severity, 'video_unreadable' as code, count(*) as n from manifest where video_id = 3
+      union all select 'error', 'not_contiguous', count(*) from (select *, lag(end_s) over (partition by video_id order by start_s) as before from a) where before <> start_s
+      union all select 'error', 'annotation_out_of_bounds', count(distinct video_id) from a join videos using (video_id) where video_id <> 3 and (start_s < -1e-6 or end_s > floor(duration + 0.5) + 1e-6)
+      union all select 'error', 'split_unknown_group', 1
+      union all select 'warning', 'split_unassigned_group', 1 where exists (select 1 from manifest where group_id = 'g2'))
+    select severity, code, n, 'error' as status, (select sum(n)::bigint from i where severity = 'error') as errors, coalesce((select sum(n)::bigint from i where severity = 'warning'), 0) as warnings
+    from i where n > 0""",
+)
+add(
+    "shifted_requests",
+    ["videos", "samples"],
+    """#q as (select video_id // 3 as edit_id, video_id * 10 + 1 as annotation_order, video_id, 4.0::double as s, duration - 6 as e from videos
+      union all select video_id // 3, video_id * 10 + 2, video_id, duration - 12, duration from videos),
+    m as (select video_id, case when t > 12 then t + 0.25 else t end as t from samples),
+    i as (select edit_id, annotation_order, video_id, t from q join m using (video_id) where t > s + 1e-6 and t < e - 1e-6),
+    f as (select *, (t - min(t) over (partition by edit_id, annotation_order, video_id)) * 2 as n from i)
+    select edit_id, annotation_order, video_id, count(*) as inside, count(distinct case when abs(n - round(n)) <= 0.45 then round(n) end) as used from f group by 1, 2, 3 having used < inside""",
+)

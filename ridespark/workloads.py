@@ -6,6 +6,7 @@ rounded so that results can be compared with the SQL in `workload_sql`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,7 +41,7 @@ from .operators import (
 )
 from .plans.intervals import drop_overlapping
 from .schemas import DELTA_SOURCES, SAMPLE_COLUMNS, SIGNAL_COLUMNS
-from .session import freeze
+from .session import checkpoint_folder, freeze
 from .sources import flightlog, lists, manifest as manifests, sinks
 from .streaming import finite, live
 
@@ -1102,3 +1103,113 @@ def live_deltas(spark, folder):
     t = (F.unix_micros("ts") - A.EPOCH_US) / A.US_PER_SECOND
     out = live.live_delta(stream.withColumn("t", t), "value")
     return rounded(finite.run_available(out)[0])
+
+
+# -- files and findings -------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def score_report_files(spark, folder):
+    """The report as its CSV files hold it."""
+    rows, summary = ranking.score_report(scored_windows(spark, folder), A.manifest(spark, folder))
+    path = _folder(spark, "score-report")
+    sinks.write_score_report(rows, summary, path)
+    return rounded(spark.read.schema(rows.schema).option("header", "true").csv(f"{path}/windows"))
+
+
+@query
+def correlation_files(spark, folder):
+    """Both matrices as their CSV files hold them."""
+    path = _folder(spark, "correlations")
+    table = stats.correlation_table(signal_table(spark, folder), SIGNAL_COLUMNS, ids=["video_id", "sample_idx"])
+    sinks.write_correlations(freeze(table), SIGNAL_COLUMNS, path)
+    kind = "signal string, " + ", ".join(f"{n} double" for n in SIGNAL_COLUMNS)
+    read = lambda m: spark.read.schema(kind).option("header", "true").csv(f"{path}/{m}").withColumn("measure", F.lit(m))
+    return rounded(read("pearson").unionByName(read("spearman")))
+
+
+@query
+def telemetry_export(spark, folder):
+    """Motion, positions and absolute times as the telemetry file holds them."""
+    rows = A.attitude(spark, folder)
+    track = telemetry.gps_track(rows.select("video_id", "sample_idx", "t", "lat", "lon"))
+    starts = A.videos(spark, folder).select("video_id", F.timestamp_seconds(F.lit(1704067200) + F.col("video_id")).alias("start_time"))
+    path = _folder(spark, "telemetry")
+    sinks.write_csv(sinks.telemetry_table(telemetry.vehicle_motion(rows), track, starts), path)
+    back = spark.read.option("header", "true").csv(path)
+    number = lambda c, n, digits: r(F.col(f"`{c}`").cast("double"), digits).alias(n)
+    return back.select(
+        F.col("video_id").cast("long").alias("video_id"), number("Elapsed time (s)", "t", 3), number("Lateral acceleration (g)", "lateral", 5),
+        number("Combined acceleration (g)", "combined", 5), number("GPS distance (m)", "distance_m", 3), F.unix_micros(F.col("Timestamp").cast("timestamp")).alias("us"),
+    )
+
+
+@query
+def group_manifest(spark, folder):
+    return manifests.records_of_group(A.manifest(spark, folder), "g1")
+
+
+@query
+def split_counts(spark, folder):
+    split = learning.split_by_groups(training(spark, folder), ["g2"])
+    side = lambda df, name: learning.class_counts(df, by=()).withColumn("side", F.lit(name))
+    return side(split.train, "training").unionByName(side(split.validation, "validation"))
+
+
+@query
+def log_order(spark, folder):
+    log = flightlog.parse_blocks(_log_blocks(spark, folder))
+    return rounded(flightlog.order_findings(log.withColumn("file", F.lit("all"))))
+
+
+@query
+def paired_fixes(spark, folder):
+    rows = A.attitude(spark, folder).withColumn("lon", F.when(F.pmod("sample_idx", F.lit(3)) > 0, F.col("lon")))
+    return telemetry.paired_fixes(rows).select("video_id", "sample_idx")
+
+
+@query
+def off_lattice(spark, folder):
+    return edits.off_lattice(A.clips(spark, folder), A.samples(spark, folder)).select("edit_id", "annotation_order")
+
+
+@query
+def unserved_requests(spark, folder):
+    clips = A.clips(spark, folder)
+    own = edits.samples_of_requests(clips, A.samples(spark, folder))
+    rows = signals.engineered_signals(own, ids=[*edits.REQUEST, "sample_idx", "t"])
+    made = windows.window_statistics(rows, window=WINDOW, stride=STRIDE, dt=DT, keys=edits.REQUEST)
+    return edits.unserved(clips, made).select("edit_id", "annotation_order")
+
+
+@query
+def unprobed_segments(spark, folder):
+    return selection.unprobed(A.clips(spark, folder), A.videos(spark, folder)).select("annotation_order")
+
+
+@query
+def windows_without_telemetry(spark, folder):
+    rows = learning.feature_windows(A.samples(spark, folder), A.rates(spark, folder))
+    return learning.without_telemetry(rows).select("video_id", "window_index")
+
+
+@query
+def manifest_audit(spark, folder):
+    """Findings of the whole audit by code, each with the status of all. One video is not probed, one annotation of each is moved."""
+    videos = A.videos(spark, folder).where("video_id <> 3")
+    marks = A.annotations(spark, folder).withColumn("end_s", F.when(F.col("start_s") == 5, F.col("end_s") + 1).otherwise(F.col("end_s")))
+    issues, _ = audit.audit_manifest(A.manifest(spark, folder), videos, marks, train=["g0"], validation=["g1", "g9"])
+    issues = freeze(issues)
+    counts = issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(audit.status(issues)))  # one row
+
+
+@query
+def shifted_requests(spark, folder):
+    """Requests over recordings whose grid shifts by half a step in the middle, with the samples that this leaves out."""
+    t = F.when(F.col("t") > 12, F.col("t") + 0.25).otherwise(F.col("t"))
+    return edits.left_out_samples(_edit_requests(spark, folder), A.samples(spark, folder).withColumn("t", t))
