@@ -1211,3 +1211,12 @@ add(
     f as (select *, (t - min(t) over (partition by edit_id, annotation_order, video_id)) * 2 as n from i)
     select edit_id, annotation_order, video_id, count(*) as inside, count(distinct case when abs(n - round(n)) <= 0.45 then round(n) end) as used from f group by 1, 2, 3 having used < inside""",
 )
+# the quadratic fitted to nine samples: sums over the places -4..4 are 9, 0, 60, 0 and 708 for the powers 0 to 4
+add(
+    "polynomial_smooth",
+    ["signals"],
+    f"""#n as (select video_id, count(*) as n from signals group by video_id),
+    c as (select video_id, sample_idx, greatest(4, least(n - 5, sample_idx)) as mid, sample_idx - greatest(4, least(n - 5, sample_idx)) as p from signals join n using (video_id)),
+    w as (select c.video_id, c.sample_idx, s.roll_index::double as v, p, s.sample_idx - mid as x from c join signals s on s.video_id = c.video_id and s.sample_idx between mid - 4 and mid + 4)
+    select video_id, sample_idx, {r('sum(v * ((708 - 60 * (p * p + x * x) + 9 * p * p * x * x) / 2772.0::double + p * x / 60.0::double))')} as roll_index from w group by 1, 2""",
+)
