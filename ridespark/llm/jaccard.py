@@ -9,11 +9,13 @@ documents. Only cells that can reach the similarity are formed:
   fewer than k common ones there is discarded; k grows with the size. The order comes from a counting
   sketch of all documents; it affects the amount of work, not the result.
 - Sizes below t times the other's are discarded.
+- Columns of a prefix that no other prefix has count as missing from the other set, so a column that comes
+  after too many of these is discarded, and so is a pair whose places leave too few in common.
 - The other cells are counted exactly in blocks of candidate pairs: rows of a block are multiplied with
   the marked columns of one set at a time.
 
-A column that thousands of near copies share is not squared. In the first rounds each column links its
-sets with one of them; columns whose sets are by then in one component are done. What is left is
+A column that thousands of near copies share is not squared. In the first rounds each column names one
+of its sets, and each set is compared with the few that its columns name most often; columns whose sets are by then in one component are done. What is left is
 joined in full, in blocks of BLOCK sets.
 """
 
@@ -35,6 +37,7 @@ SHINGLE = 5
 PERCENT = 80
 CELLS = 20
 STAR_ROUNDS = 2
+STARS = 4
 #: One in so many shingles of a set, and one more, must be common in the prefixes.
 COMMON_SHARE = 20
 BLOCK = 512
@@ -126,6 +129,23 @@ def _common(a: Column, b: Column) -> Column:
     return F.floor(F.least(a, b) / COMMON_SHARE) + 1
 
 
+def _reaches(overlap: Column, sizes: Column, percent: int) -> Column:
+    """Whether an overlap of this size reaches the similarity, from the sum of both sizes."""
+    return overlap * (100 + percent) >= sizes * percent
+
+
+def _possible(entries: DataFrame, percent: int) -> DataFrame:
+    """Of c, n, p (place), gram: the columns that a set may share with a similar one, with `q`, how many before them may be.
+
+    Columns are in one order in all sets. So if two sets share the column at place p of a prefix, any
+    other that they share before it is in both prefixes, and one that is in no other prefix is
+    missing from the other set. A set of n with q other candidates before p shares q + n - p at most.
+    """
+    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1").select("gram")
+    shared = entries.join(often, "gram").withColumn("q", F.row_number().over(W.partitionBy("c").orderBy("p")) - 1)
+    return shared.where((F.col("q") + F.col("n") - F.col("p")) * 100 >= F.col("n") * percent)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (x, y) of classes, those that reach the similarity; `texts` has c, text."""
     y = texts.select(F.col("c").alias("y"), F.col("text").alias("ty"))
@@ -189,13 +209,13 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     """
     rows = keyed(docs, key=key, text=text)
     sets = written(prefixes(rows, size, percent), "sets")
-    classes = sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct(*KEYS)).alias("r"))
-    classes = written(ordinal(written(classes.select("s", "n", "r.*"), "classes"), [F.col(k) for k in KEYS], name="c"), "classes")
+    # equal sets have equal prefixes: one row a class from here on
+    classes = written(sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct(*KEYS, "prefix")).alias("r")).select("s", "n", "r.*"), "classes")
+    firsts = classes.select("s", "n", "prefix")
+    classes = written(ordinal(classes.drop("prefix"), [F.col(k) for k in KEYS], name="c"), "classes")
 
-    entries = sets.select("s", "n", F.explode("prefix").alias("gram"))
-    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1").select("gram")
-    entries = entries.join(often, "gram").distinct().join(classes.select("s", "n", "c"), ["s", "n"]).select("gram", "c", "n")
-    entries = written(entries, "entries")
+    entries = firsts.join(classes.select("s", "n", "c"), ["s", "n"]).select("c", "n", F.posexplode("prefix").alias("p", "gram"))
+    entries = written(_possible(entries, percent), "entries")
     ends = entries.groupBy("gram").agg(F.min("c").alias("x"), F.max("c").alias("_last")).where("x < _last").select("gram", "x")
     entries = written(entries.join(ends, "gram"), "entries")
 
@@ -214,9 +234,9 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     star = star.join(sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), "x").where(_sizes_fit(F.col("n"), F.col("nx"), percent))
     star = star.withColumn("k", _common(F.col("n"), F.col("nx")))
     # a common column may have another first set, so part of the count is enough here
-    labels = components(verified(star.where("3 * m >= k").select("x", "y"), "star"))
+    labels = components(verified(_nearest(star.where("3 * m >= k")), "star"))
     for k in range(1, star_rounds + 1):
-        named = entries.select("gram", "c", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        named = entries.drop("x").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
         named = written(named, "named")
         ends = named.groupBy("gram").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("c", F.lit(k)), "c", "n", "label")).alias("_x"))
         apart = written(named.join(ends.where("_lo < _hi").select("gram", "_m", "_x"), "gram"), "apart")
@@ -224,7 +244,8 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
             break
         if k < star_rounds:
             pairs = apart.where((F.col("label") != F.col("_x.label")) & _sizes_fit(F.col("n"), F.col("_x.n"), percent))
-            pairs = pairs.groupBy(F.least("c", "_x.c").alias("x"), F.greatest("c", "_x.c").alias("y")).agg(F.count(F.lit(1)).alias("m"), _common(F.min("n"), F.min("_x.n")).alias("k")).where("3 * m >= k").select("x", "y")
+            pairs = pairs.groupBy(F.col("_x.c").alias("x"), F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("m"), _common(F.min("n"), F.min("_x.n")).alias("k")).where("3 * m >= k")
+            pairs = _nearest(pairs).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         else:
             pairs = _all_pairs(apart.drop("_x"), percent, block)
         more = verified(pairs, "pairs")
@@ -237,6 +258,17 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     return some.unionByName(none)
 
 
+def _nearest(star: DataFrame) -> DataFrame:
+    """The STARS sets x that each set y has most columns in common with, as pairs.
+
+    One link is enough to put a near copy where its group is. A copy of a large group meets another
+    first set in each of its columns; without this, the texts of all these pairs would be compared.
+    What stays apart is paired in full at the end.
+    """
+    w = W.partitionBy("y").orderBy(F.desc("m"), "x")
+    return star.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= STARS).select("x", "y")
+
+
 def _all_pairs(apart: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of sets in different components that share enough columns.
 
@@ -244,12 +276,16 @@ def _all_pairs(apart: DataFrame, percent: int, block: int) -> DataFrame:
     and to every block on the right.
     """
     blocks = F.ceil(F.col("_m") / block).cast("int")
-    left = apart.withColumn("_b", F.pmod(F.xxhash64("c"), blocks).cast("int")).select("gram", "_b", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "label")])
+    left = apart.withColumn("_b", F.pmod(F.xxhash64("c"), blocks).cast("int")).select("gram", "_b", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "label", "p", "q")])
     right = apart.withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_m")
-    both = left.join(right, ["gram", "_b"]).where((F.col("l_c") < F.col("c")) & (F.col("l_label") != F.col("label")) & _sizes_fit(F.col("l_n"), F.col("n"), percent))
+    rest = F.least(F.col("l_n") - F.col("l_p"), F.col("n") - F.col("p"))
+    reach = _reaches(F.least("l_q", "q") + rest, F.col("l_n") + F.col("n"), percent)
+    both = left.join(right, ["gram", "_b"]).where((F.col("l_c") < F.col("c")) & (F.col("l_label") != F.col("label")) & _sizes_fit(F.col("l_n"), F.col("n"), percent) & reach)
     # columns of sets in different components are all among these, so the count is whole
-    counted = both.groupBy(F.col("l_c").alias("x"), F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("m"), _common(F.min("l_n"), F.min("n")).alias("k"))
-    return counted.where("m >= k").select("x", "y")
+    counted = both.groupBy(F.col("l_c").alias("x"), F.col("c").alias("y")).agg(F.count(F.lit(1)).alias("m"), F.min("l_n").alias("nx"), F.min("n").alias("ny"), F.min(rest).alias("rest"))
+    # behind the last common column of the prefixes, which is one of the m
+    reach = _reaches(F.col("m") + F.col("rest") - 1, F.col("nx") + F.col("ny"), percent)
+    return counted.where((F.col("m") >= _common(F.col("nx"), F.col("ny"))) & reach).select("x", "y")
 
 
 def components_of(docs: DataFrame, **options) -> DataFrame:
