@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.ordered import ordinal
+from ..session import drop_table
 from .keys import KEYS, keyed
-from .tables import written
+from .tables import new_path, written
 from .words import LOWER, NOT_SPACE, Words, mix, slices, text_buffers, windows, words_of
 
 SHINGLE = 5
@@ -210,14 +211,19 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     rows = keyed(docs, key=key, text=text)
     sets = written(prefixes(rows, size, percent), "sets")
     # equal sets have equal prefixes: one row a class from here on
-    classes = written(sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct(*KEYS, "prefix")).alias("r")).select("s", "n", "r.*"), "classes")
+    spark = docs.sparkSession
+    held = [new_path(spark, name) for name in ("class-prefixes", "possible")]
+    classes = sets.where("n > 0").groupBy("s", "n").agg(F.min(F.struct(*KEYS, "prefix")).alias("r")).select("s", "n", "r.*")
+    classes = written(classes, "classes", held[0])
     firsts = classes.select("s", "n", "prefix")
     classes = written(ordinal(classes.drop("prefix"), [F.col(k) for k in KEYS], name="c"), "classes")
 
     entries = firsts.join(classes.select("s", "n", "c"), ["s", "n"]).select("c", "n", F.posexplode("prefix").alias("p", "gram"))
-    entries = written(_possible(entries, percent), "entries")
+    entries = written(_possible(entries, percent), "entries", held[1])
+    drop_table(spark, held[0])
     ends = entries.groupBy("gram").agg(F.min("c").alias("x"), F.max("c").alias("_last")).where("x < _last").select("gram", "x")
     entries = written(entries.join(ends, "gram"), "entries")
+    drop_table(spark, held[1])
 
     # texts of the classes that share a column, one each
     wanted = entries.select("c").distinct().join(classes.select("c", *KEYS), "c")
@@ -237,9 +243,11 @@ def joined(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: in
     labels = components(verified(_nearest(star.where("3 * m >= k")), "star"))
     for k in range(1, star_rounds + 1):
         named = entries.drop("x").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        named = written(named, "named")
+        named_at = new_path(spark, "named")
+        named = written(named, "named", named_at)
         ends = named.groupBy("gram").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min(F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("c", F.lit(k)), "c", "n", "label")).alias("_x"))
         apart = written(named.join(ends.where("_lo < _hi").select("gram", "_m", "_x"), "gram"), "apart")
+        drop_table(spark, named_at)
         if apart.isEmpty():
             break
         if k < star_rounds:
