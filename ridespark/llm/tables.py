@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, note_table
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -22,6 +22,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    note_table(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ hash of their ids; shards are numbered in the same order.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import drop_table
 from .tables import new_path, refuse, written
 from .words import ragged, slices
 
@@ -224,6 +226,26 @@ def kind_of(definition: str, end_id: int = END_ID) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
+# fixed value: the words of a tokenizer file whose words may be encoded apart
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encodes_by_word(definition: str) -> bool:
+    """Whether a tokenizer gives the ids of a text word by word: it lowers case, drops white space and
+    parts letters from signs before its merges, and no special token holds white space."""
+    d = json.loads(definition)
+    steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])]
+    split = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    tokens = [t["content"] for t in d.get("added_tokens", [])]
+    return (
+        "Lowercase" in steps
+        and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        and split.get("pattern", {}).get("Regex") == _WORDS
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and not any(c.isspace() for t in tokens for c in t)
+    )
+
+
 def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column, and how many each row has."""
     _, at, data = column.cast(pa.large_binary()).buffers()
@@ -251,17 +273,20 @@ def frequencies(tokens: DataFrame, ids: str = "ids", kind: str = "<u4") -> DataF
 # -- files --------------------------------------------------------------------
 
 
-def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID, by_word: bool = True) -> None:
+def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID, by_word: bool | None = None) -> None:
     """Encode `docs` into the files below `path` (`ranks.parquet`, `blocks.parquet`).
 
-    `vocabulary` is the path of a `tokenizers` file, read on the driver. Texts are tokenized once;
+    `vocabulary` is the path of a `tokenizers` file, read on the driver; its definition says whether words
+    may be encoded apart (`by_word`), otherwise whole texts are. Texts are tokenized once;
     the ids are kept in the shared folder, counted, coded and dealt out by ranges of the key.
     """
     spark = docs.sparkSession
     definition = Path(vocabulary).read_text(encoding="utf-8")
+    by_word = encodes_by_word(definition) if by_word is None else by_word
     narrow = kind_of(definition, end_id)
     tokens = tokenize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), definition, end_id=end_id, by_word=by_word, kind=narrow)
-    tokens = written(tokens.select("key", "ids"), "token-ids")
+    held = new_path(spark, "token-ids")
+    tokens = written(tokens.select("key", "ids"), "token-ids", held)
     # as many rows as the vocabulary has ids
     order = [r["id"] for r in frequencies(tokens, kind=narrow).orderBy(F.desc("n"), "id").collect()]
     ranks = spark.createDataFrame(list(enumerate(order)), "rank int, id int")
@@ -303,6 +328,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_
     spec = f"shard int, start long, keys array<{kind}>, counts array<long>, n_ids long, control binary, data binary"
     blocks = to_arrow_schema(spark.createDataFrame([], spec).schema)
     laid.select("key", "ids").mapInArrow(pack, spec).write.parquet(f"{path}/blocks.parquet")
+    drop_table(spark, held)
 
 
 def read_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:

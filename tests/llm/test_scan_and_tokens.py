@@ -1,13 +1,18 @@
 import hashlib
+import json
+import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from ridespark.llm import decontaminate, fixity, tokencount, tokenids, words
+import corpus_pipeline
+from ridespark.llm import decontaminate, fixity, tables, tokencount, tokenids, words
 from ridespark.llm.queries import vocabulary
 
 from .corpus import odd_rows, sentence, table
@@ -169,3 +174,47 @@ def test_audit_of_intact_and_odd_pages(spark):
     all_lost = fixity.page_audit(odd, changed=F.lit(False), lost=F.lit(True)).collect()
     assert len(all_lost) == 4 and {r.kind for r in all_lost} == {"missing"} and all_lost[0].replica_root is None
     assert fixity.page_audit(odd.limit(0), changed=F.lit(False), lost=F.lit(False)).count() == 0
+
+
+# -- vocabularies and intermediate tables --------------------------------------------
+
+
+def test_words_apart_only_where_the_definition_allows():
+    text = Path(vocabulary("word_bpe_49k.json")).read_text(encoding="utf-8")
+    assert tokenids.encodes_by_word(text)
+    assert not tokenids.encodes_by_word(Path(vocabulary("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    for change in (
+        lambda d: d.update(normalizer=None),
+        lambda d: d["normalizer"]["normalizers"].append({"type": "StripAccents"}),
+        lambda d: d.update(pre_tokenizer=None),
+        lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(invert=False),
+        lambda d: d["added_tokens"].append({"content": "a b"}),
+    ):
+        other = json.loads(text)
+        change(other)
+        assert not tokenids.encodes_by_word(json.dumps(other))
+
+
+def test_another_vocabulary_gets_whole_texts(spark, tmp_path):
+    rows = [r for r in odd_rows() if r[0] not in (None, 41, 42, 50, 51)]
+    tokenids.write_files(table(spark, rows), str(tmp_path / "files"), vocabulary("byte_bpe_50k.json"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenids.read_files(spark, str(tmp_path / "files")).collect()}
+    whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    assert got == {r[0]: [*whole.encode(r[1] or "", add_special_tokens=False).ids, tokenids.END_ID] for r in rows}
+
+
+def test_a_stage_drops_what_led_to_its_input(spark):
+    made = []
+
+    @corpus_pipeline.stage
+    def copied(spark, docs, folder):
+        made.append(tables.new_path(spark, "copy"))
+        return tables.written(docs, "copy", made[-1])
+
+    there = lambda: [os.path.exists(p.removeprefix("file:")) for p in made]
+    docs = table(spark, odd_rows()[:5])
+    first = copied(spark, docs, "")
+    second = copied(spark, first, "")  # still reads the first table
+    assert there() == [True, True] and second.count() == 5
+    copied(spark, docs, "")
+    assert there() == [True, False, True]
