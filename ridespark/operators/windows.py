@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.ordered import CHUNK, HALO, halo_by_distance, halo_one_row
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, quantile_of
 from ..schemas import SIGNAL_COLUMNS, WINDOW_STATS
 
 LATTICE_TOLERANCE = 1e-6
@@ -145,14 +145,14 @@ def windowed(
 
 
 def statistics(signals: Sequence[str] = SIGNAL_COLUMNS) -> dict[str, Column]:
-    """The six statistics of each signal, as aggregate expressions."""
+    """What the six statistics of each signal are taken from, as aggregate expressions."""
     out: dict[str, Column] = {}
     for s in signals:
         x = F.col(s).cast("double")
         out[f"{s}_mean"] = F.avg(x)
         out[f"{s}_max"] = F.max(x)
         out[f"{s}_std"] = F.stddev_pop(x)
-        out[f"{s}_pct"] = F.percentile(x, [0.5, 0.9])
+        out[f"{s}_all"] = F.sort_array(F.collect_list(x))  # a window's rows are few by construction
         out[f"{s}_min"] = F.min(x)
     return out
 
@@ -170,7 +170,7 @@ def window_statistics(
 ) -> DataFrame:
     """Mean, max, population std, median, 90th percentile and min of every signal per window."""
     rows = windowed(signals, statistics(names), window=window, stride=stride, dt=dt, grid=grid, keys=keys)
-    pick = {"median": lambda s: F.col(f"{s}_pct")[0], "q90": lambda s: F.col(f"{s}_pct")[1]}
+    pick = {"median": lambda s: quantile_of(F.col(f"{s}_all"), 0.5), "q90": lambda s: quantile_of(F.col(f"{s}_all"), 0.9)}
     return rows.select(
         *keys,
         "window_index",

@@ -26,6 +26,26 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
     return a.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]), how).drop(*[f"_r_{k}" for k in keys])
 
 
+def multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with a single rounding; the three are doubles and not null."""
+    return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
+
+
+def quantile_of(ordered: Column, prob: float) -> Column:
+    """Quantile of an ascending array of doubles without nulls; null if it is empty. NaN comes last.
+
+    Linear between the two nearest ranks, by one multiplication and one multiply-add as DuckDB does it.
+    A float-rounded quantile of floats often lies half-way between two floats, and the last digit of the
+    double decides which one it becomes; `percentile` rounds once more there, which reorders near-equal
+    scores against SQL.
+    """
+    at = (F.size(ordered) - 1) * F.lit(float(prob))
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    share = at - F.floor(at)
+    between = multiply_add(low, 1 - share, high * share)
+    return F.when(low.isNull() | (low == high), low).otherwise(between)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
