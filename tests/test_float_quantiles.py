@@ -49,6 +49,10 @@ def test_rank_global(spark, half_way):
     equals_sql(spark, half_way, "rank_global")
 
 
+def test_score_report(spark, half_way):
+    equals_sql(spark, half_way, "score_report")
+
+
 def test_quantile_of(spark):
     rng = np.random.default_rng(3)
     data = [sorted(map(float, rng.normal(0.2, 0.1, n).astype(np.float32))) for n in range(1, 9) for _ in range(50)]
