@@ -57,6 +57,10 @@ def test_score_report_files(spark, half_way):
     equals_sql(spark, half_way, "score_report_files")
 
 
+def test_training_table(spark, half_way):
+    equals_sql(spark, half_way, "training_table")
+
+
 def test_quantile_of(spark):
     rng = np.random.default_rng(3)
     data = [sorted(map(float, rng.normal(0.2, 0.1, n).astype(np.float32))) for n in range(1, 9) for _ in range(50)]
