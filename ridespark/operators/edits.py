@@ -119,11 +119,9 @@ def score_requests(
         )
         stats = append_window_value(stats, rms, "pitch_rate_rms", keys=REQUEST)
         names.append("pitch_rate_rms")
+        stats = stats.where(F.col("pitch_rate_rms").isNotNull())  # before normalizing, as in training
     stats = freeze(stats)  # read for the statistics and for the scaling
-    scaled = zscore(stats, names, keys=REQUEST)  # over all windows, those without telemetry included
-    if pitch is not None:
-        scaled = scaled.where(F.col("pitch_rate_rms").isNotNull())
-    return score(scaled).select(*REQUEST, "window_index", "start_s", "end_s", "score")
+    return score(zscore(stats, names, keys=REQUEST)).select(*REQUEST, "window_index", "start_s", "end_s", "score")
 
 
 def candidates_of(scored: DataFrame, clips: DataFrame, videos: DataFrame, settings: EditSettings = EditSettings()) -> DataFrame:

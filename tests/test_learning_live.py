@@ -2,14 +2,18 @@ import collections
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from ridespark import workloads
+from ridespark import adapters as A, workloads
 from ridespark.operators import audit, learning, normalize, smoothing, telemetry
 from ridespark.schemas import DELTA_SOURCES, FEATURE_COLUMNS, GAINS, SAMPLE_COLUMNS
 from ridespark.streaming import finite, live
+from ridespark.workload_sql import SQL
 
 NAMES = ["a", "b", "c"]
 
@@ -83,6 +87,26 @@ def test_training_table_order(spark, folder):
     assert set(FEATURE_COLUMNS) <= set(t.columns) and t.where(F.col("label").isNull()).isEmpty()
 
 
+def test_training_table_with_a_gap(spark, folder, tmp_path):
+    """Windows without telemetry are left out before normalizing, in training as in SQL and in scoring."""
+    con = duckdb.connect()
+    con.sql(f"copy (from '{folder}/embeddings.parquet') to '{tmp_path}/embeddings.parquet'")
+    con.sql(f"copy (from '{folder}/events.parquet' where user_id <> 1 or epoch_us(ts) >= 1704067200000000 + 400000000000) to '{tmp_path}/events.parquet'")
+    for t in ("embeddings", "events"):
+        con.sql(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    got = workloads.QUERIES["training_table"](spark, str(tmp_path))
+    want = con.sql(f"select {', '.join(got.columns)} from ({SQL['training_table']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    raw = learning.feature_windows(A.samples(spark, tmp_path), A.rates(spark, tmp_path))
+    assert learning.without_telemetry(raw).select("video_id", "window_index").collect() == [(1, 0)]
+
+    one = learning.SavedRanker(Pipeline(stages=[SQLTransformer(statement="select *, roll_index_mean as score from __THIS__")]).fit(raw), {"feature_normalization": learning.NORMALIZED})
+    scores = {(r.video_id, r.window_index): r.score for r in learning.score_windows(one, raw).collect()}
+    assert scores.pop((1, 0)) is None
+    of = got.columns.index
+    assert all(round(scores[w[of("video_id")], w[of("window_index")]], 3) == pytest.approx(w[of("roll_index_mean")], abs=1e-3) for w in want)
+
+
 # -- telemetry ---------------------------------------------------------------
 
 
